@@ -1,0 +1,11 @@
+"""The queries of the reports and operators, and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
