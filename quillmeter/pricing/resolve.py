@@ -1,0 +1,50 @@
+"""Resolution of model names to keys of the rate table, by ordered rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillmeter.functions.text import fuzzy_form, provider_of_model
+
+#: Rules in order; the first that finds a key wins.
+RULES = ["alias", "direct", "effort_suffix", "provider_prefixed", "release_suffix", "fuzzy"]
+EFFORT = r"-(minimal|low|medium|high|xhigh)$"
+#: What may follow a key in the name of one of its releases.
+RELEASE = r"^[-@.](\d{4}-?\d{2}-?\d{2}|\d{6,8}|v\d+([.:]\d+)*|latest|preview|exp|beta|\d{3,4})([-@.:](\d{4}-?\d{2}-?\d{2}|\d{2,8}|v?\d+([.:]\d+)*|latest|preview))*$"
+
+
+def resolve_models(models: DataFrame, rates: DataFrame, aliases: DataFrame | None = None, never_fuzzy: tuple[str, ...] = ()) -> DataFrame:
+    """(model, model_key, rule) for distinct names in models(model); names without a key have nulls.
+
+    Only distinct names meet the rate table, which is small and is broadcast where Spark measures
+    it so. The fuzzy rule allows max(2, a fifth of the length) edits between forms without
+    punctuation, the same numbers in both, and takes the first key of the least distance.
+    """
+    names = models.select("model").where("model is not null").distinct()
+    keys = rates.select("model_key", F.coalesce("provider", provider_of_model(F.col("model_key"))).alias("provider"), F.aggregate(F.array(*[F.col(c).isNotNull().cast("int") for c in ("input", "output", "cache_read", "cache_write")]), F.lit(0), lambda a, b: a + b).alias("n_rates"))
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    m, k = F.col("model"), F.col("model_key")
+    plain = F.regexp_replace(m, EFFORT, "")
+    owner = provider_of_model(m)
+    tests = []
+    tests.append((names.join(keys, (m == k) | (last(m) == k)), "direct", [(m == k).cast("int").desc()]))
+    tests.append((names.where(m.rlike(EFFORT)).join(keys, (plain == k) | (last(plain) == k)), "effort_suffix", [k]))
+    tests.append((names.join(keys, k.endswith(F.concat(F.lit("/"), last(m))) | k.endswith(F.concat(F.lit("."), last(m)))), "provider_prefixed", [F.coalesce((owner == F.col("provider")).cast("int"), F.lit(0)).desc(), F.col("n_rates").desc(), F.char_length(k), k]))
+    tests.append((names.join(keys, m.startswith(k) & F.substring(m, F.char_length(k) + 1, F.char_length(m)).rlike(RELEASE)), "release_suffix", [F.char_length(k).desc(), k]))
+    a, b = fuzzy_form(m), fuzzy_form(last(k))
+    most = F.greatest(F.lit(2), F.floor(F.char_length(a) / 5)).cast("int")
+    digits = lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
+    close = (F.abs(F.char_length(a) - F.char_length(b)) <= most) & (digits(m) == digits(last(k))) & (F.levenshtein(a, b) <= most)
+    tests.append((names.where(~m.isin(list(never_fuzzy))) .join(keys, close), "fuzzy", [F.levenshtein(a, b), k]))
+    if aliases is not None:
+        t = aliases.select(F.col("alias"), F.col("model_key").alias("target"))
+        hit = names.join(t, (m == F.col("alias")) | (fuzzy_form(m) == fuzzy_form(F.col("alias")))).join(keys, F.col("target") == k)
+        tests.insert(0, (hit, "alias", [k]))
+    found = None
+    for df, rule, order in tests:
+        ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("model").orderBy(*order))).where("_r = 1").select("model", "model_key", F.lit(rule).alias("rule"))
+        found = ranked if found is None else found.unionByName(ranked)
+    rank = F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule"))
+    best = found.groupBy("model").agg(F.min_by(F.struct("model_key", "rule"), rank).alias("best"))
+    return names.join(best, "model", "left").select("model", F.col("best.model_key").alias("model_key"), F.col("best.rule").alias("rule"))
