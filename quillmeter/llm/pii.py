@@ -16,7 +16,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 #: What an unseen identifier looks like: 6 to 64 characters with a digit, whole.
 TOKEN = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]{0,63}[0-9])[A-Za-z0-9@+][A-Za-z0-9._@+/-]{4,62}+(?<=[A-Za-z0-9])(?![A-Za-z0-9._@+/-])"
