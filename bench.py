@@ -1,0 +1,41 @@
+"""Times the headline queries; prints one JSON line."""
+
+from __future__ import annotations
+
+import json
+import os
+import time
+
+from pyspark.sql import SparkSession
+
+from quillmeter import catalogue
+
+HEADLINE = ["usage_daily", "usage_hourly", "usage_by_repo", "usage_at_scale", "usage_model_breakdown", "filter_local_window_tz", "price_both", "session_rows", "projects", "tools", "compare_metrics", "blocks_5h", "spend_spikes", "active_time_union_day", "dedupe_repeated_files", "dedupe_copied_sessions", "attribute_nearest_root", "machine_merge", "cube_cells", "content_hash"]
+
+
+def main() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = (
+        SparkSession.builder.master(f"local[{cpus}]")
+        .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "8g")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    queries = catalogue.queries()
+    queries["usage_daily"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts the engine
+    took = {}
+    for name in HEADLINE:
+        began = time.time()
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        took[name] = round(time.time() - began, 3)
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()
