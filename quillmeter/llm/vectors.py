@@ -28,7 +28,7 @@ def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def near_vectors(table: DataFrame, least: float = 0.95, nearest: int = 8, shared: int = 2, pivots: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.95, nearest: int = 12, shared: int = 2, pivots: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) from all pairs with cosine >= least that the index finds.
 
     Equal vectors are one class from the start. Each class is described by its `nearest` nearest
