@@ -36,7 +36,7 @@ def op4_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     scored = toxicity.toxicity(docs.select("doc_id", "text"), model)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -20,6 +20,8 @@ FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 2500, 5000, 20_000
 CORE, OWN = 1500, 1000
 #: A word is typical of a class if it is in so many of its texts, and so many times more often than in the other's.
 SEEN, TIMES = 10, 40
+#: Rounds in which the ordinary dictionary learns from windows it lost, windows tried, and bytes lost that count.
+ROUNDS, TRIED, WON = 1, 60_000, 4
 #: Bytes won in a window that the features count from on.
 STEPS = (2, 4, 6, 7, 8, 9, 10, 11, 12)
 
@@ -73,15 +75,21 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple
     nt, no = max(1, len(toxic)), max(1, len(ordinary))
 
     def typical(own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
-        rate = {w: c / n / ((other[w] + 0.5) / m) for w, c in own.items() if c >= min(SEEN, max(2, n // 20)) and len(w) >= 3}
+        rate = {w: c / n / ((other[w] + 0.5) / m) for w, c in own.items() if c >= min(SEEN, max(3, n // 60)) and len(w) >= 3}
         top = sorted((w for w, r in rate.items() if r >= TIMES * (m / (m + 1))), key=lambda w: (own[w], w))[-OWN:]
         return top
 
     core = [w for w, _ in sorted(o.items(), key=lambda x: (-x[1], x[0]))[:CORE]][::-1]
     first, second = typical(t, nt, o, no), typical(o, no, t, nt)
-    # both get as many windows of their own: the ordinary one from words seen in ordinary texts alone
-    fill = sorted((w for w, c in o.items() if c >= 3 and not t[w]), key=lambda w: (o[w], w))[: max(0, len(first) - len(second))]
-    return tuple(_spread(b" " + b" ".join([*core, *own]) + b" ") + PAD for own in (first, [*fill, *second]))
+    made = lambda own: _spread(b" " + b" ".join([*core, *own]) + b" ") + PAD
+    # the ordinary dictionary also learns those of its windows that the toxic one would win
+    for _ in range(ROUNDS):
+        distance = Distance(made(first), made(second))
+        common = sorted((w for w, c in o.items() if not t[w] or c / no > t[w] / nt), key=lambda w: (-o[w], w))[:TRIED]
+        taken = set(second)
+        won = [w for w in common if w not in taken and distance[w] >= WON]
+        second = [*sorted(won, key=lambda w: (distance[w], o[w], w))[-OWN:], *second]
+    return made(first), made(second)
 
 
 def features(wins: list[int]) -> np.ndarray:
@@ -107,20 +115,25 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40)
     return w
 
 
-def fit(labelled: DataFrame) -> bytes:
-    """A model from labelled(doc_id, text, toxic): dictionaries and calibrated thresholds.
+def fit(docs: DataFrame, labels: DataFrame) -> bytes:
+    """A model from docs(doc_id, text) and labels(doc_id, toxic): dictionaries and calibrated thresholds.
 
-    The fit takes FIT_TOXIC toxic and FIT_ORDINARY other texts at most, those with the smallest
-    hashes of their ids, and FIT_BYTES of each; copies count once. A half of them trains the
-    dictionaries, the other calibrates the thresholds, and then the other way round; the model
-    has the dictionaries of all and the weights of both halves' features. With one class only,
-    the score is that class's share.
+    The fit takes FIT_TOXIC toxic and FIT_ORDINARY other documents at most, those with the smallest
+    hashes of their ids, and FIT_BYTES characters of each; copies count once. They are chosen from
+    the labels alone, so that only their bounded number of ids meets the documents. A half of them
+    trains the dictionaries, the other calibrates the thresholds, and then the other way round; the
+    model has the dictionaries of all and the weights of both halves' features. With one class
+    only, the score is that class's share.
     """
-    prepare(labelled)
-    one = labelled.where("toxic is not null and text is not null").select(F.substring("text", 1, FIT_BYTES).alias("text"), F.col("toxic").cast("int").alias("y"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    rows = []
+    prepare(docs)
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    few = None
     for y, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
-        rows += one.where(F.col("y") == y).orderBy("h", F.xxhash64("text")).limit(most).collect()
+        part = known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
+        few = part if few is None else few.unionByName(part)
+    chosen = docs.select("doc_id", F.substring("text", 1, FIT_BYTES).alias("text")).where("text is not null")
+    rows = chosen.join(F.broadcast(few), "doc_id").select("text", "y", "h").collect()
     texts = {}
     for r in rows:
         texts.setdefault(r["text"], (r["y"], r["h"]))
@@ -164,8 +177,6 @@ def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
     return kept.mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents outside the held-out fifth, crc32 of the id modulo 5."""
-    kept = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    few = labels.where(kept).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").where(kept).join(few, "doc_id")
+def learnable(labels: DataFrame) -> DataFrame:
+    """labels without the held-out fifth, crc32 of the id modulo 5."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
