@@ -18,6 +18,14 @@ from quillmeter.llm.neardup import words_of
 SHARD = 400_000
 
 
+#: Low bits that hold a place; the others order phrases, in longer texts too.
+PLACES = (1 << 24) - 1
+
+
+def _leftmost(g: np.ndarray, span: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(g, span).argmin(1) + np.arange(len(g) - span + 1)
+
+
 def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each window's anchor, the leftmost least phrase in it: places of anchors, first and last window of each.
 
@@ -29,7 +37,16 @@ def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, n
     if len(g) < span:
         none = np.empty(0, np.int64)
         return none, none, none
-    picked = np.lib.stride_tricks.sliding_window_view(g, span).argmin(1) + np.arange(len(g) - span + 1)
+    if len(g) <= PLACES + 1:
+        # places in the low bits break ties to the left; then minima of doubled lengths
+        least, size = g & np.uint64(~PLACES & 0xFFFFFFFFFFFFFFFF) | np.arange(len(g), dtype=np.uint64), 1
+        while size < span:
+            step = min(size, span - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        picked = (least & np.uint64(PLACES)).astype(np.int64)
+    else:
+        picked = _leftmost(g & np.uint64(~PLACES & 0xFFFFFFFFFFFFFFFF), span)
     first = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
     last = np.concatenate([first[1:], [len(picked)]]) - 1
     return picked[first], first, last
@@ -96,7 +113,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, phrase: int = 12, id_col
     if not 0 < phrase <= window:
         raise ValueError("a phrase is a part of a window")
     key_type = docs.schema[id_col].dataType.simpleString()
-    scan = _scan(docs, window, phrase, id_col, text_col)
+    scan = cut(_scan(docs, window, phrase, id_col, text_col))
     rows = scan.select("row_key", F.posexplode(F.arrays_zip("anchors", "contexts")).alias("nth", "x")).select("row_key", "nth", F.col("x.anchors").alias("anchor"), F.col("x.contexts").alias("context"))
     counted = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
     counted = counted.select("anchor", (F.col("low") != F.col("high")).alias("several"))
