@@ -12,10 +12,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import prepare
+from quillmeter.llm.common import cut, prepare
 
-#: Labelled texts that a model is fitted on at most, by class, and bytes of each that are read.
-FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 2500, 5000, 20_000
+#: Labelled texts that a model is fitted on at most, by class.
+FIT_TOXIC, FIT_ORDINARY = 2500, 5000
 #: Words of the common part of both dictionaries, and of the part that sets each apart.
 CORE, OWN = 1500, 1000
 #: A word is typical of a class if it is in so many of its texts, and so many times more often than in the other's.
@@ -65,14 +65,14 @@ class Distance(dict):
         return value
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+def dictionaries(t: Counter, nt: int, o: Counter, no: int) -> tuple[bytes, bytes]:
     """Dictionaries trained on both classes: what is common to all text, then what is typical of each class.
 
-    Texts count once each, so copies must be taken out before. The most typical windows come
-    last, where matches are cheapest.
+    t and o count, of nt toxic and no ordinary texts, those with each window. Texts count once each,
+    so copies must be taken out before. The most typical windows come last, where matches are
+    cheapest.
     """
-    t, o = Counter(w for x in toxic for w in set(x)), Counter(w for x in ordinary for w in set(x))
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
+    nt, no = max(1, nt), max(1, no)
 
     def typical(own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
         rate = {w: c / n / ((other[w] + 0.5) / m) for w, c in own.items() if c >= min(SEEN, max(3, n // 60)) and len(w) >= 3}
@@ -119,11 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     """A model from docs(doc_id, text) and labels(doc_id, toxic): dictionaries and calibrated thresholds.
 
     The fit takes FIT_TOXIC toxic and FIT_ORDINARY other documents at most, those with the smallest
-    hashes of their ids, and FIT_BYTES characters of each; copies count once. They are chosen from
-    the labels alone, so that only their bounded number of ids meets the documents. A half of them
-    trains the dictionaries, the other calibrates the thresholds, and then the other way round; the
-    model has the dictionaries of all and the weights of both halves' features. With one class
-    only, the score is that class's share.
+    hashes of their ids, and the whole text of each; copies count once, as toxic if one is. They are
+    chosen from the labels alone, so that only their bounded number of ids meets the documents. A
+    half of them trains the dictionaries, the other calibrates the thresholds, and then the other way
+    round; the model has the dictionaries of all and the weights of both halves' features. Texts stay
+    on the executors; the driver gets counts of texts by window, and features. With one class only,
+    the score is that class's share.
     """
     prepare(docs)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -132,23 +133,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     for y, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
         part = known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
         few = part if few is None else few.unionByName(part)
-    chosen = docs.select("doc_id", F.substring("text", 1, FIT_BYTES).alias("text")).where("text is not null")
-    rows = chosen.join(F.broadcast(few), "doc_id").select("text", "y", "h").collect()
-    texts = {}
-    for r in rows:
-        texts.setdefault(r["text"], (r["y"], r["h"]))
-    data = sorted((h, y, windows_of(t)) for t, (y, h) in texts.items())
-    share = sum(y for _, y, _ in data) / len(data) if data else 0.0
+    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
+    chosen = chosen.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.max("y").alias("y"), F.min("h").alias("h"), F.first("text").alias("text"))
+    chosen = cut(chosen)
+    data = sorted((r["h"], r["digest"], r["y"]) for r in chosen.select("h", "digest", "y").collect())
+    share = sum(y for _, _, y in data) / len(data) if data else 0.0
     if not data or share in (0.0, 1.0):
         return pickle.dumps({"share": share})
-    halves = [[d for i, d in enumerate(data) if i % 2 == k] for k in (0, 1)]
-    x, y = [], []
-    for train, rest in (halves, halves[::-1]):
-        distance = Distance(*dictionaries([w for _, t, w in train if t], [w for _, t, w in train if not t]))
-        x += [features([distance[w] for w in words]) for _, _, words in rest]
-        y += [t for _, t, _ in rest]
-    weights = calibrate(np.array(x), np.array(y, float))
-    both = dictionaries([w for _, t, w in data if t], [w for _, t, w in data if not t])
+    half = {digest: i % 2 for i, (_, digest, _) in enumerate(data)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter((half[d], y, w) for d, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in set(windows_of(t)))
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(found.values(), pa.int64())], names=["half", "y", "window", "n"])
+
+    texts = chosen.select("digest", "y", "text")
+    seen = {(k, y): Counter() for k in (0, 1) for y in (0, 1)}
+    for r in texts.mapInArrow(count, "half int, y int, window binary, n long").groupBy("half", "y", "window").agg(F.sum("n").alias("n")).toLocalIterator():
+        seen[r["half"], r["y"]][bytes(r["window"])] = r["n"]
+    size = Counter((half[digest], y) for _, digest, y in data)
+    trained = [dictionaries(seen[k, 1], size[k, 1], seen[k, 0], size[k, 0]) for k in (0, 1)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = [Distance(*x) for x in trained]
+        for batch in batches:
+            rows = [features([distances[1 - half[d]][w] for w in windows_of(t)]).tolist() for d, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["digest", "y", "x"])
+
+    found = sorted((r["digest"], r["y"], r["x"]) for r in texts.mapInArrow(measure, "digest string, y int, x array<double>").collect())
+    weights = calibrate(np.array([x for _, _, x in found]), np.array([y for _, y, _ in found], float))
+    both = dictionaries(seen[0, 1] + seen[1, 1], size[0, 1] + size[1, 1], seen[0, 0] + seen[1, 0], size[0, 0] + size[1, 0])
     return pickle.dumps({"share": share, "toxic": both[0], "ordinary": both[1], "weights": weights.tolist()})
 
 
