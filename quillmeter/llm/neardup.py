@@ -30,22 +30,27 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(grams)
 
 
-def _scatter(x: np.ndarray) -> np.ndarray:
-    """A permutation of the 32-bit integers."""
+def _scatter(x: np.ndarray, first: int = 0x7FEB352D, second: int = 0x846CA68B) -> np.ndarray:
+    """A permutation of the 32-bit integers; each pair of odd constants is one."""
     x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(0x7FEB352D)
+    x = x * np.uint32(first)
     x = x ^ (x >> np.uint32(15))
-    x = x * np.uint32(0x846CA68B)
+    x = x * np.uint32(second)
     return x ^ (x >> np.uint32(16))
 
 
+def _place(x: np.ndarray) -> np.ndarray:
+    """The initial permutation, another than that of the shifts."""
+    return _scatter(x, 0x21F0AAAD, 0xD35A2D97)
+
+
 def circulant_signature(shingles: np.ndarray, size: int) -> np.ndarray:
     """`size` MinHash values from two permutations of a 32-bit universe.
 
     The first scatters the shingles once. The second is shifted circularly by one place for each
     further value: value k is the least image of (place + k) modulo the universe.
     """
-    places = _scatter((shingles >> np.uint64(32)).astype(np.uint32))
+    places = _place((shingles >> np.uint64(32)).astype(np.uint32))
     shifts = np.arange(size, dtype=np.uint32)[:, None]
     least = np.full(size, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(places), 1024):

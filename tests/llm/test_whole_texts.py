@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmeter.llm import toxicity
+from quillmeter.llm import neardup, pii, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,3 +41,8 @@ def test_texts_that_share_a_prefix_stay_apart_and_copies_are_one(spark, common):
     df = docs_of(spark, [start + " one", start + " two", start + " three", start + " three"])
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
     assert pickle.loads(toxicity.fit(df, labels))["share"] == pytest.approx(1 / 3)
+
+
+def test_signature_scatters_by_two_different_permutations():
+    x = np.arange(1 << 16, dtype=np.uint32)
+    assert len(np.unique(neardup._place(x))) == len(x) and (neardup._place(x) != neardup._scatter(x)).mean() > 0.99
