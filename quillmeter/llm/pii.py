@@ -18,8 +18,9 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
-#: What an unseen identifier looks like: 6 to 64 characters with a digit, whole.
-TOKEN = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]{0,63}[0-9])[A-Za-z0-9@+][A-Za-z0-9._@+/-]{4,62}+(?<=[A-Za-z0-9])(?![A-Za-z0-9._@+/-])"
+#: What an unseen identifier looks like: 6 characters or more with a digit. It ends with its run's last
+#: letter or digit; punctuation may follow. Runs are entered at their start, and repetition never goes back.
+TOKEN = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]*+[0-9])(?=[A-Za-z0-9._@+/-]{5}[._@+/-]*+[A-Za-z0-9])[A-Za-z0-9@+][A-Za-z0-9]*+(?:[._@+/-]++[A-Za-z0-9]++)*+"
 #: Code points to the left that a context is taken from, and its words.
 LEFT, WORDS = 60, 2
 

@@ -43,6 +43,15 @@ def test_texts_that_share_a_prefix_stay_apart_and_copies_are_one(spark, common):
     assert pickle.loads(toxicity.fit(df, labels))["share"] == pytest.approx(1 / 3)
 
 
+def test_identifiers_before_punctuation_and_long_ones_are_masked(spark):
+    known = [f"please contact staff{i}@mail.example for help" for i in range(30)]
+    long = "EMP" + "x" * 80 + "7"
+    ends = ["EMP-7001.", "EMP-7002- ok", "EMP-7003/", "EMP-7004...", f"{long}, ok", f"{long}.", "EMP.-7005", "a.b-1."]
+    rows = {r["doc_id"]: r["spans"] for r in pii.pii_digests(docs_of(spark, known + [f"please contact {e}" for e in ends])).collect()}
+    got = [rows[30 + i] for i in range(len(ends))]
+    assert got == ["context:15:23"] * 4 + ["context:15:99"] * 2 + ["context:15:24", ""], got
+
+
 def test_signature_scatters_by_two_different_permutations():
     x = np.arange(1 << 16, dtype=np.uint32)
     assert len(np.unique(neardup._place(x))) == len(x) and (neardup._place(x) != neardup._scatter(x)).mean() > 0.99
