@@ -18,7 +18,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 # Parts that prove nothing alone: an identifier, an opaque value, and where they would be used.
 WEAK_ID = r"""(?:[Cc]lient|[Aa]ccount|[Aa]ccess|[Uu]ser|[Tt]enant)[_-]?(?:[Kk]ey[_-]?)?(?:[Ii][Dd]|[Nn]ame)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@._-]{4,}+|\bA[KS]IA[A-Z0-9]{8,15}+(?![A-Z0-9])"""
-WEAK_SECRET = r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,63}[0-9])(?=[A-Za-z0-9+/_=-]{0,63}[a-z])(?=[A-Za-z0-9+/_=-]{0,63}[A-Z])[A-Za-z0-9+/_=-]{16,128}+(?![A-Za-z0-9+/_=-])"""
+WEAK_SECRET = r"""(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"""
 ENDPOINT = r"""\b(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|ssh|jdbc:[a-z]{2,20})://[^\s"'<>\\]++"""
 
 
@@ -32,6 +32,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def weak_secrets(text: Column) -> Column:
+    """weak_secret spans of texts: whole runs of any length that hold a digit, a lower-case and an upper-case letter."""
+    return F.filter(matches(text, WEAK_SECRET, "weak_secret"), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
+
+
 def linked_parts(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, linked): weak identifiers, weak secrets and endpoints that complement each other.
 
@@ -49,7 +54,7 @@ def linked_parts(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
         F.col(id_col).alias("id"),
         F.sha1(text.cast("binary")).alias("text_key"),
         F.concat(matches(text, WEAK_ID, "weak_id"), matches(text, ACCESS, "access")).alias("ids"),
-        F.concat(matches(text, WEAK_SECRET, "weak_secret"), matches(text, HEX, "hex")).alias("secrets"),
+        F.concat(weak_secrets(text), matches(text, HEX, "hex")).alias("secrets"),
         matches(text, ENDPOINT, "endpoint").alias("ends"),
     )
     parts = parts.where("size(ids) > 0 and size(secrets) > 0").dropDuplicates(["id", "text_key"])

@@ -52,6 +52,14 @@ def test_identifiers_before_punctuation_and_long_ones_are_masked(spark):
     assert got == ["context:15:23"] * 4 + ["context:15:99"] * 2 + ["context:15:24", ""], got
 
 
+def test_long_opaque_values_link(spark):
+    values = ["Zk3vQ9xLm2Rt8WyB", "Zk3vQ9xLm2Rt8WyB" * 30, "k" * 100 + "Q7", "Kz" * 100 + "=9"]
+    texts = [t for v in values for t in (f"https://api.example.com/v1 client_id: alpha-7 and {v}", f"client_id: alpha-7 and {v.lower()} end")]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(docs_of(spark, texts)).collect()}
+    for i, v in enumerate(values):
+        assert rows[2 * i] == f"endpoint:0:26,weak_id:27:45,weak_secret:50:{50 + len(v)}" and rows[2 * i + 1] == "", (v, rows)
+
+
 def test_signature_scatters_by_two_different_permutations():
     x = np.arange(1 << 16, dtype=np.uint32)
     assert len(np.unique(neardup._place(x))) == len(x) and (neardup._place(x) != neardup._scatter(x)).mean() > 0.99
