@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text."""
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text."""
 
 from __future__ import annotations
 
@@ -16,87 +16,112 @@ from quillmeter.llm.common import cut, prepare
 
 #: Labelled texts that a model is fitted on at most, by class.
 FIT_TOXIC, FIT_ORDINARY = 2500, 5000
-#: Words of the common part of both dictionaries, and of the part that sets each apart.
-CORE, OWN = 1500, 1000
-#: A word is typical of a class if it is in so many of its texts, and so many times more often than in the other's.
-SEEN, TIMES = 10, 40
-#: Rounds in which the ordinary dictionary learns from windows it lost, windows tried, and bytes lost that count.
-ROUNDS, TRIED, WON = 1, 60_000, 4
+#: Words of a window of running text, and from one window's start to the next's: windows overlap by half.
+WINDOW, STRIDE = 8, 4
+#: Bytes of the dictionaries' ordinary and toxic content, and what each round of lost windows may add.
+ORDINARY, TOXIC, LOST = 60_000, 20_000, 20_000
+#: Rounds in which ordinary windows that the toxic dictionary wins by WON bytes are learned, if there are so many.
+ROUNDS, WON, FEWEST = 2, 2, 50
+#: A word or pair of words counts as toxic if it is in SEEN toxic texts or more and this log-likelihood ratio tells the classes apart.
+SEEN, RATIO = 5, 40.0
 #: Bytes won in a window that the features count from on.
-STEPS = (2, 4, 6, 7, 8, 9, 10, 11, 12)
+STEPS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24)
 
-EDGE = b".,;:!?|\"'()[]{}<>#$%&*@-_/\\"
-PAD = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
-#: Each byte of a text becomes two, so that a match in a window outweighs zstandard's fixed cost of a match.
-SPREAD = {b: 0x100 + (b * 40503 + 77 & 0x7FFF) for b in range(256)}
-LEVEL = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 6, "target_length": 64, "strategy": zstandard.STRATEGY_BTOPT}
+EDGE = ".,;:!?|\"'()[]{}<>#$%&*@-_/\\"
+#: How windows are compressed: as UTF-16, where a word outweighs the fixed cost of a match, without a frame's own fields.
+LEVEL = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 6, "target_length": 64, "strategy": zstandard.STRATEGY_BTOPT}
 
 
-def windows_of(text: str | None) -> list[bytes]:
-    """A text's windows: its words, in lower case, without punctuation at their ends."""
-    return [w for w in (x.strip(EDGE) for x in (text or "").lower().encode("utf-8", "surrogatepass").split()) if w]
+def words_of(text: str | None) -> list[str]:
+    """A text's words in lower case, without punctuation at their ends."""
+    return [w for w in (x.strip(EDGE) for x in (text or "").lower().split()) if w]
 
 
-def _spread(text: bytes) -> bytes:
-    return text.decode("latin-1").translate(SPREAD).encode("utf-16-le")
+def stored(words: list[str]) -> bytes:
+    """Words as the bytes that are trained on and compressed."""
+    return f" {' '.join(words)} ".encode("utf-16-le", "surrogatepass")
 
 
-class Distance(dict):
-    """By window, the bytes that the toxic dictionary saves over the ordinary one; lately seen windows are kept."""
+def windows_of(words: list[str], stride: int = STRIDE) -> list[bytes]:
+    """All windows of a text's words; a shorter text is one window, an empty one has none."""
+    return [stored(words[i : i + WINDOW]) for i in range(0, max(1, len(words) - WINDOW + stride), stride)] if words else []
 
-    MOST = 500_000
+
+def units_of(words: list[str]) -> set[str]:
+    """The words and pairs of neighbouring words of a text."""
+    return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
+
+
+def toxic_runs(words: list[str], toxic: frozenset[str]) -> list[bytes]:
+    """The longest runs of words that toxic units cover."""
+    mark = [w in toxic for w in words]
+    for i, pair in enumerate(map(" ".join, zip(words, words[1:], strict=False))):
+        if pair in toxic:
+            mark[i] = mark[i + 1] = True
+    runs, run = [], []
+    for word, marked in zip([*words, ""], [*mark, False], strict=True):
+        if marked:
+            run.append(word)
+        elif run:
+            runs.append(stored(run))
+            run = []
+    return runs
+
+
+def trained(samples: list[bytes], size: int, segment: int = 16) -> bytes:
+    """A dictionary's content by zstandard's training; samples too few or short for that are taken as they are."""
+    total = sum(map(len, samples))
+    size = min(size, max(256, total // 2))
+    if len(samples) >= 8 and total > 2 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:  # samples that hold nothing in common
+            pass
+    return b"".join(dict.fromkeys(samples))[-size:]
+
+
+class Distance:
+    """The bytes that the toxic dictionary saves over the ordinary one, window by window.
+
+    Both dictionaries end in the same ordinary content, so that what is common to all text costs
+    the same at the same distance under either; the toxic one has its own content before that.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        super().__init__()
-        self.toxic, self.ordinary = self.compressor(toxic), self.compressor(ordinary)
+        self.toxic, self.ordinary = self.compressor(toxic + ordinary), self.compressor(ordinary)
 
     @staticmethod
-    def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    def compressor(content: bytes) -> zstandard.ZstdCompressor:
         params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, **LEVEL)
-        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(content.rjust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(compression_params=params, dict_data=data)
 
-    def __missing__(self, window: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        x = PAD + _spread(b" " + window + b" ")
-        value = self[window] = len(self.ordinary.compress(x)) - len(self.toxic.compress(x))
-        return value
+    def of(self, windows: list[bytes]) -> list[int]:
+        a, b = self.ordinary.compress, self.toxic.compress
+        return [len(a(w)) - len(b(w)) for w in windows]
 
 
-def dictionaries(t: Counter, nt: int, o: Counter, no: int) -> tuple[bytes, bytes]:
-    """Dictionaries trained on both classes: what is common to all text, then what is typical of each class.
+def dictionaries(windows: list[bytes], runs: list[bytes]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) content, trained on ordinary windows and on toxic runs.
 
-    t and o count, of nt toxic and no ordinary texts, those with each window. Texts count once each,
-    so copies must be taken out before. The most typical windows come last, where matches are
-    cheapest.
+    Then, for some rounds, the ordinary content also learns the ordinary windows that the toxic
+    dictionary would win.
     """
-    nt, no = max(1, nt), max(1, no)
-
-    def typical(own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
-        rate = {w: c / n / ((other[w] + 0.5) / m) for w, c in own.items() if c >= min(SEEN, max(3, n // 60)) and len(w) >= 3}
-        top = sorted((w for w, r in rate.items() if r >= TIMES * (m / (m + 1))), key=lambda w: (own[w], w))[-OWN:]
-        return top
-
-    core = [w for w, _ in sorted(o.items(), key=lambda x: (-x[1], x[0]))[:CORE]][::-1]
-    first, second = typical(t, nt, o, no), typical(o, no, t, nt)
-    made = lambda own: _spread(b" " + b" ".join([*core, *own]) + b" ") + PAD
-    # the ordinary dictionary also learns those of its windows that the toxic one would win
+    ordinary, toxic = trained(windows, ORDINARY, 32), trained(runs, TOXIC)
     for _ in range(ROUNDS):
-        distance = Distance(made(first), made(second))
-        common = sorted((w for w, c in o.items() if not t[w] or c / no > t[w] / nt), key=lambda w: (-o[w], w))[:TRIED]
-        taken = set(second)
-        won = [w for w in common if w not in taken and distance[w] >= WON]
-        second = [*sorted(won, key=lambda w: (distance[w], o[w], w))[-OWN:], *second]
-    return made(first), made(second)
+        won = [w for w, saved in zip(windows, Distance(toxic, ordinary).of(windows), strict=True) if saved >= WON]
+        if len(won) < FEWEST:
+            break
+        ordinary = trained(won, min(LOST, 20 * len(won))) + ordinary
+    return toxic, ordinary
 
 
-def features(wins: list[int]) -> np.ndarray:
-    """How many windows save at least so many bytes, as logarithms of counts and of shares, and the most saved."""
+def features(wins: list[int]) -> list[float]:
+    """How many windows save at least so many bytes, as logarithms of counts and of shares, the most and the mean saved."""
     a = np.array(wins or [0])
     counts = np.array([(a >= s).sum() for s in STEPS], float)
-    return np.concatenate([[1.0], np.log1p(counts), np.log1p(400 * counts / len(a)), [max(0, a.max()) / 4, np.log1p(len(a)) / 4]])
+    return [1.0, *np.log1p(counts).tolist(), *np.log1p(200 * counts / len(a)).tolist(), max(0, int(a.max())) / 4, float(a.mean()), float(np.log1p(len(a))) / 4]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
@@ -115,16 +140,35 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40)
     return w
 
 
+def _toxic_units(texts: DataFrame, toxic: int, ordinary: int) -> frozenset[str]:
+    """Units that are in significantly more of the toxic texts(y, text) than of the ordinary ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter((y, u) for y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for u in units_of(words_of(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([u.encode("utf-8", "surrogatepass") for _, u in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["y", "unit", "n"])
+
+    n = texts.select("y", "text").mapInArrow(count, "y int, unit binary, n long").groupBy("unit").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+    share = toxic / (toxic + ordinary)
+    here, there = (F.col("a") + F.col("b")) * share, (F.col("a") + F.col("b")) * (1 - share)
+    ratio = 2 * (F.col("a") * F.log(F.col("a") / here) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / there)).otherwise(0.0))
+    rows = n.where((F.col("a") >= SEEN) & (F.col("a") > here)).where(ratio >= RATIO).select("unit").collect()
+    return frozenset(bytes(r["unit"]).decode("utf-8", "surrogatepass") for r in rows)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     """A model from docs(doc_id, text) and labels(doc_id, toxic): dictionaries and calibrated thresholds.
 
     The fit takes FIT_TOXIC toxic and FIT_ORDINARY other documents at most, those with the smallest
     hashes of their ids, and the whole text of each; copies count once, as toxic if one is. They are
-    chosen from the labels alone, so that only their bounded number of ids meets the documents. A
-    half of them trains the dictionaries, the other calibrates the thresholds, and then the other way
-    round; the model has the dictionaries of all and the weights of both halves' features. Texts stay
-    on the executors; the driver gets counts of texts by window, and features. With one class only,
-    the score is that class's share.
+    chosen from the labels alone, so that only their bounded number of ids meets the documents. Two
+    thirds of each class train the dictionaries, the last third, which they haven't seen, calibrates
+    the thresholds. The ordinary dictionary is trained on all windows of the ordinary texts; the
+    toxic one has that content too, and its own, trained on those runs of the toxic texts that tell
+    the classes apart: toxic text is ordinary text for the most part, and dictionaries of all of it
+    would differ by chance alone. Texts stay on the executors, one of which trains on the windows;
+    the driver gets dictionaries, toxic units and features. With one class only, the score is that
+    class's share.
     """
     prepare(docs)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -134,37 +178,43 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
         part = known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
         few = part if few is None else few.unionByName(part)
     chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
-    chosen = chosen.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.max("y").alias("y"), F.min("h").alias("h"), F.first("text").alias("text"))
-    chosen = cut(chosen)
+    chosen = cut(chosen.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.max("y").alias("y"), F.min("h").alias("h"), F.first("text").alias("text")))
     data = sorted((r["h"], r["digest"], r["y"]) for r in chosen.select("h", "digest", "y").collect())
     share = sum(y for _, _, y in data) / len(data) if data else 0.0
     if not data or share in (0.0, 1.0):
         return pickle.dumps({"share": share})
-    half = {digest: i % 2 for i, (_, digest, _) in enumerate(data)}
+    ranks = {y: iter(range(len(data))) for y in (0, 1)}
+    unseen = frozenset(digest for _, digest, y in data if next(ranks[y]) % 3 == 2)
+    trains = {y: sum(d not in unseen and z == y for _, d, z in data) for y in (0, 1)}
+    seen = chosen.where(~F.col("digest").isin(*unseen)) if unseen else chosen
+    units = _toxic_units(seen, trains[1], trains[0])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter((half[d], y, w) for d, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in set(windows_of(t)))
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(found.values(), pa.int64())], names=["half", "y", "window", "n"])
+            made = [(y, s) for y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in (toxic_runs(words_of(t), units) if y else windows_of(words_of(t), WINDOW))]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in made], pa.int32()), pa.array([s for _, s in made], pa.binary())], names=["y", "sample"])
+
+    def train(table: pa.Table) -> pa.Table:
+        # training looks for one segment in each part of its input in turn, so equal samples must not lie together
+        samples = sorted(zip(table.column("sample").to_pylist(), table.column("y").to_pylist(), strict=True))
+        samples = [samples[i] for i in np.random.default_rng(0).permutation(len(samples))]
+        toxic, ordinary = dictionaries([s for s, y in samples if not y], [s for s, y in samples if y])
+        return pa.table({"toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary())})
 
-    texts = chosen.select("digest", "y", "text")
-    seen = {(k, y): Counter() for k in (0, 1) for y in (0, 1)}
-    for r in texts.mapInArrow(count, "half int, y int, window binary, n long").groupBy("half", "y", "window").agg(F.sum("n").alias("n")).toLocalIterator():
-        seen[r["half"], r["y"]][bytes(r["window"])] = r["n"]
-    size = Counter((half[digest], y) for _, digest, y in data)
-    trained = [dictionaries(seen[k, 1], size[k, 1], seen[k, 0], size[k, 0]) for k in (0, 1)]
+    both = seen.select("y", "text").mapInArrow(sample, "y int, sample binary").withColumn("one", F.lit(0)).groupBy("one").applyInArrow(train, "toxic binary, ordinary binary").first()
+    toxic, ordinary = (bytes(both["toxic"]), bytes(both["ordinary"])) if both else (b"", b"")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = [Distance(*x) for x in trained]
+        distance = Distance(toxic, ordinary)
         for batch in batches:
-            rows = [features([distances[1 - half[d]][w] for w in windows_of(t)]).tolist() for d, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [features(distance.of(windows_of(words_of(t)))) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["digest", "y", "x"])
 
-    found = sorted((r["digest"], r["y"], r["x"]) for r in texts.mapInArrow(measure, "digest string, y int, x array<double>").collect())
+    # without texts to spare, thresholds are calibrated on those that were trained on
+    rest = chosen.where(F.col("digest").isin(*unseen)) if unseen else chosen
+    found = sorted((r["digest"], r["y"], r["x"]) for r in rest.select("digest", "y", "text").mapInArrow(measure, "digest string, y int, x array<double>").collect())
     weights = calibrate(np.array([x for _, _, x in found]), np.array([y for _, y, _ in found], float))
-    both = dictionaries(seen[0, 1] + seen[1, 1], size[0, 1] + size[1, 1], seen[0, 0] + seen[1, 0], size[0, 0] + size[1, 0])
-    return pickle.dumps({"share": share, "toxic": both[0], "ordinary": both[1], "weights": weights.tolist()})
+    return pickle.dumps({"share": share, "toxic": toxic, "ordinary": ordinary, "weights": weights.tolist()})
 
 
 def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +235,7 @@ def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
             if distance is None:
                 scores = np.full(batch.num_rows, m["share"])
             else:
-                x = [features([distance[w] for w in windows_of(t)]) for t in batch.column(at).to_pylist()]
+                x = [features(distance.of(windows_of(words_of(t)))) for t in batch.column(at).to_pylist()]
                 scores = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(len(x), -1) @ np.array(m["weights"]), -30, 30))) if x else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
