@@ -1,4 +1,4 @@
-"""Removal of passages that occur more than once, located by phrase automata."""
+"""Removal of passages that occur more than once: confirmed by counts, located by sharded phrase automata."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from quillmeter.llm.common import WordHashes, cut, gram_hashes, mixed, prepare
 from quillmeter.llm.neardup import words_of
 
-#: Compressed bytes of the documents that one automaton serves; a longer document has one of its own.
-SHARD = 400_000
-
+#: Bytes of text that one shard of documents, and so the passages that its automaton must know, stands for.
+SHARD = 16 << 20
+#: Bits of a place's number that tell the word; the others tell the document.
+SPOT = 24
 
 #: Low bits that hold a place; the others order phrases, in longer texts too.
 PLACES = (1 << 24) - 1
@@ -52,104 +53,130 @@ def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, n
     return picked[first], first, last
 
 
-def packed(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """docs with the text as zstandard-compressed UTF-8, `z`, a third smaller on its way than Spark's own blocks."""
-    kind = docs.schema[key_col].dataType.simpleString()
+def _dealt(docs: DataFrame, id_col: str, text_col: str, key) -> DataFrame:
+    """docs as (own_id, key, doc, text); doc is 40 bits of the key's hash and deals out documents to shards."""
+    rows = docs.select(F.col(id_col).alias("own_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.withColumn("doc", F.shiftrightunsigned(F.xxhash64("key"), SPOT))
+
+
+def _packed(dealt: DataFrame, shards: int) -> DataFrame:
+    """(shard, own_id, key, doc, z): the text as zstandard-compressed UTF-8, a third smaller on its way than Spark's own blocks."""
+    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in ("own_id", "key", "doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            z = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["packed_key", "z"])
+            z = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.binary())], names=["own_id", "key", "doc", "z"])
 
-    return docs.select(key_col, text_col).mapInArrow(run, f"packed_key {kind}, z binary")
+    made = dealt.select("own_id", "key", "doc", "text").mapInArrow(run, f"{kinds}, z binary")
+    return made.withColumn("shard", (F.col("doc") % shards).cast("int"))
 
 
-def unpacked(column: pa.Array) -> list[list[bytes]]:
-    """The words of packed texts."""
-    loosen = zstandard.ZstdDecompressor()
-    return [loosen.decompress(z.as_py()).split() for z in column]
+def _words(z: pa.Scalar) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(z.as_py()).split()
 
 
-def _scan(docs: DataFrame, window: int, phrase: int, id_col: str, text_col: str) -> DataFrame:
-    """(row_key, anchors, contexts): of each text with a window, hashes of anchors and of all the words of their windows."""
+def _scan(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(doc, size, anchors, contexts, places): of each text, its bytes, hashes of anchors and of all the words of their windows, anchors' words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, own, around = [], [], []
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            own, around, places = [], [], []
+            for text in batch.column(1).to_pylist():
                 h = hashes.of(words_of(text, lower=False))
                 at, first, last = anchors(h, window, phrase)
+                places.append(at.astype(np.int32))
                 if not len(at):
+                    own.append([])
+                    around.append([])
                     continue
-                # a context is told by its first and last window, its length and the anchor's place in it
+                # a context is told by its first and last window, its length and the anchor's place in it;
+                # windows between them are covered, as the two overlap or touch: last - first < window
                 whole = gram_hashes(h, window)
                 spread = mixed(whole[first] * np.uint64(3) + mixed(whole[last] + (last - first).astype(np.uint64)) + (at - first).astype(np.uint64))
-                # windows between them are covered, as the two overlap or touch: last - first < window
-                keys.append(key.as_py())
                 own.append(gram_hashes(h, phrase)[at].view(np.int64))
                 around.append(spread.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(own, pa.list_(pa.int64())), pa.array(around, pa.list_(pa.int64()))], names=["row_key", "anchors", "contexts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.int64())), pa.array(around, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["doc", "size", "anchors", "contexts", "places"])
+
+    return dealt.select("doc", "text", F.octet_length("text").cast("long").alias("size")).mapInArrow(run, "doc bigint, size bigint, anchors array<bigint>, contexts array<bigint>, places array<int>")
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"row_key {docs.schema[id_col].dataType.simpleString()}, anchors array<bigint>, contexts array<bigint>")
 
+def compiled(passages: dict[bytes, bool]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """An automaton over words that finds passages (words joined by one space) and gives each one's value; the words' numbers."""
+    numbers: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for passage, value in passages.items():
+        automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in passage.split(b" ")]), value)
+    if passages:
+        automaton.make_automaton()
+    return automaton, numbers
 
-def repeated_windows(docs: DataFrame, window: int = 35, phrase: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, covered): documents with repeated windows; covered holds [first, last] window starts of each run.
 
-    A window is `window` consecutive words; it is repeated if the same words start anywhere else.
-    1. Every window names one of its `phrase`-word phrases as its anchor, by its words alone. An
-    anchor that occurs once proves its windows unique. Counting is pre-aggregated, so a passage
-    that a third of the documents share is a few rows by then. 2. An anchor that recurs always in
-    the same context confirms all windows it stands for. Anchors that recur in several contexts
-    are kept as candidates. 3. Documents with recurring phrases get them, and each task compiles
-    them, as words, into one automaton a batch of documents: the shards follow the documents, so
-    none holds phrases of documents it never sees. The batch is streamed through it; every
-    occurrence found marks the windows it anchors. 4. Windows of candidates are counted exactly,
-    under their anchor and a second hash, and those found twice join the confirmed ones.
-    """
-    prepare(docs)
+def occurrences(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[bytes, int], length: int) -> np.ndarray:
+    """By word, the value of the passage of `length` words that starts there, or -1; words that no passage has are number 0."""
+    found = np.full(max(1, len(words)), -1, np.int8)
+    if numbers:
+        for end, value in automaton.iter(tuple([numbers.get(w, 0) for w in words])):
+            found[end - length + 1] = value
+    return found
+
+
+LOCATED = "shard int, doc bigint, key_text string, sure array<int>, asked array<int>, numbers array<int>, lows array<bigint>, highs array<bigint>, counts array<int>"
+
+
+def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, text_col: str, key) -> tuple[DataFrame, DataFrame]:
+    """Documents by shard, and the places of repeated windows by shard: see without_repeats."""
+    spark = prepare(docs)
     if not 0 < phrase <= window:
         raise ValueError("a phrase is a part of a window")
-    key_type = docs.schema[id_col].dataType.simpleString()
-    scan = cut(_scan(docs, window, phrase, id_col, text_col))
-    rows = scan.select("row_key", F.posexplode(F.arrays_zip("anchors", "contexts")).alias("nth", "x")).select("row_key", "nth", F.col("x.anchors").alias("anchor"), F.col("x.contexts").alias("context"))
-    counted = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    counted = counted.select("anchor", (F.col("low") != F.col("high")).alias("several"))
-    hits = rows.select("row_key", "nth", "anchor").join(counted, "anchor")
-    hits = hits.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("nth", "several"))).alias("hits"))
-    sources = packed(docs, id_col, text_col).withColumnRenamed("packed_key", "row_key")
-    loaded = hits.join(sources, "row_key").select("row_key", "z", F.col("hits.nth").alias("nth"), F.col("hits.several").alias("several"))
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sizes = np.cumsum([len(z.as_py()) for z in batch.column("z")])
-            at = 0
-            while at < batch.num_rows:
-                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SHARD, "right")))
-                yield locate_in(batch.slice(at, upto - at), hashes)
-                at = upto
-
-    def locate_in(batch: pa.RecordBatch, hashes: WordHashes) -> pa.RecordBatch:
-        numbers: dict[bytes, int] = {}
-        read = []
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, nth, several in zip(unpacked(batch.column("z")), *(batch.column(c).to_pylist() for c in ("nth", "several")), strict=True):
-            numbered = tuple([numbers.setdefault(w, len(numbers)) for w in words])
+    dealt = _dealt(docs, id_col, text_col, key)
+    scan = cut(_scan(dealt, window, phrase))
+    total = scan.agg(F.sum("size").alias("n")).first()["n"] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD))
+    shard = lambda doc: (doc % shards).cast("int")
+    texts = _packed(dealt, shards).repartition("shard")
+
+    # what recurs, by counts that are partial before they travel; the least place stands for all
+    rows = scan.select("doc", F.explode(F.arrays_zip("anchors", "contexts", "places")).alias("x")).select("doc", F.col("x.anchors").alias("anchor"), F.col("x.contexts").alias("context"), F.col("x.places").alias("place"))
+    spot = F.shiftleft("doc", SPOT).bitwiseOR(F.col("place").cast("long").bitwiseAND(F.lit((1 << SPOT) - 1)))
+    counted = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"), F.min(spot).alias("spot")).where("n > 1")
+    counted = counted.select("anchor", (F.col("low") != F.col("high")).alias("several"), "spot")
+    sought = counted.select(shard(F.shiftrightunsigned("spot", SPOT)).alias("shard"), "anchor", "several", "spot")
+
+    def quote(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """The words of confirmed passages, from one of the documents that hold them."""
+        wanted: dict[int, list[tuple]] = {}
+        for anchor, several, at in zip(*(right.column(c).to_pylist() for c in ("anchor", "several", "spot")), strict=True):
+            wanted.setdefault(at >> SPOT & (1 << 64 - SPOT) - 1, []).append((anchor, several, at & (1 << SPOT) - 1))
+        made, hashes = {}, WordHashes()
+        for doc, z in zip(left.column("doc").to_pylist(), left.column("z"), strict=True):
+            words = _words(z) if doc in wanted else []
+            for anchor, several, at in wanted.get(doc, ()):
+                # documents may share the hash's bits, and places a number's low bits: the passage's own hash decides
+                for p in range(at, len(words) - phrase + 1, 1 << SPOT):
+                    if int(gram_hashes(hashes.of(words[p : p + phrase]), phrase).view(np.int64)[0]) == anchor:
+                        made[anchor] = (several, b" ".join(words[p : p + phrase]))
+        return pa.table({"anchor": pa.array(made, pa.int64()), "several": pa.array([s for s, _ in made.values()], pa.bool_()), "passage": pa.array([t for _, t in made.values()], pa.binary())})
+
+    quoted = texts.groupBy("shard").cogroup(sought.groupBy("shard")).applyInArrow(quote, "anchor bigint, several boolean, passage binary")
+    # the shards whose documents may hold a passage; each pair travels once, so a passage of a third of all documents is a row a shard
+    where = rows.select("anchor", shard(F.col("doc")).alias("shard")).distinct()
+    passages = where.join(quoted, "anchor").select("shard", "several", "passage")
+
+    def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Streams a shard's documents through the automaton of its passages; numbers the windows that stay open."""
+        automaton, numbers = compiled(dict(zip(right.column("passage").to_pylist(), right.column("several").to_pylist(), strict=True)))
+        hashes, open_windows, counts = WordHashes(), {}, []
+        rows: list[tuple] = []
+        for doc, name, z in zip(left.column("doc").to_pylist(), left.column("key").to_pylist(), left.column("z"), strict=True):
+            words = _words(z)
+            found = occurrences(words, automaton, numbers, phrase)
+            if (found < 0).all():
+                continue
             h = hashes.of(words)
             at, first, last = anchors(h, window, phrase)
-            for n, more in zip(nth, several, strict=True):
-                p = int(at[n])
-                automaton.add_word(numbered[p : p + phrase], more)
-            read.append((numbered, h, at, first, last))
-        automaton.make_automaton()
-        sure, asked, under = [], [], []
-        for numbered, h, at, first, last in read:
-            found = np.full(max(1, len(numbered)), -1, np.int8)
-            for end, more in automaton.iter(numbered):
-                found[end - phrase + 1] = more
             state = found[at]
             runs: list[list[int]] = []
             for a, b in zip(first[state == 0].tolist(), last[state == 0].tolist(), strict=True):
@@ -157,27 +184,53 @@ def repeated_windows(docs: DataFrame, window: int = 35, phrase: int = 12, id_col
                     runs[-1][1] = b
                 else:
                     runs.append([a, b])
-            sure.append([x for r in runs for x in r])
-            open_ = np.flatnonzero(state == 1)
-            spots = np.concatenate([np.arange(first[k], last[k] + 1) for k in open_]) if len(open_) else np.empty(0, np.int64)
-            whole = gram_hashes(h, window)[spots]
-            asked.append(spots.astype(np.int32))
-            # the anchor's own hash goes into a second, independent one: equal by chance is out of the question
-            anchor = np.repeat(gram_hashes(h, phrase)[at[open_]], last[open_] - first[open_] + 1) if len(open_) else np.empty(0, np.uint64)
-            under.append(mixed(whole ^ mixed(anchor)).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(sure, pa.list_(pa.int32())), pa.array(asked, pa.list_(pa.int32())), pa.array(under, pa.list_(pa.int64()))], names=["row_key", "sure", "asked", "windows"])
-
-    located = cut(loaded.mapInArrow(locate, f"row_key {key_type}, sure array<int>, asked array<int>, windows array<bigint>"))
-    asked = located.where("size(asked) > 0").select("row_key", F.explode(F.arrays_zip("asked", "windows")).alias("x")).select("row_key", F.col("x.asked").alias("at"), F.col("x.windows").alias("window"))
-    twice = asked.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    found = asked.join(twice, "window").groupBy("row_key").agg(F.sort_array(F.collect_set("at")).alias("found"))
-    out = located.select("row_key", "sure").dropDuplicates(["row_key"]).join(found, "row_key", "left")
-    return out.select("row_key", "sure", F.coalesce("found", F.array().cast("array<int>")).alias("found")).where("size(sure) > 0 or size(found) > 0")
+            several = np.flatnonzero(state == 1)
+            spots = np.concatenate([np.arange(first[k], last[k] + 1) for k in several]) if len(several) else np.empty(0, np.int64)
+            own = []
+            if len(spots):
+                # 128 bits of a window's words, by hashes of words that are independent of each other
+                second = mixed(h ^ np.uint64(0xD6E8FEB86659FD93))
+                for pair in zip(gram_hashes(h, window)[spots].view(np.int64).tolist(), gram_hashes(second, window)[spots].view(np.int64).tolist(), strict=True):
+                    own.append(open_windows.setdefault(pair, len(open_windows)))
+                counts += [0] * (len(open_windows) - len(counts))
+                for i in own:
+                    counts[i] += 1
+            rows.append((doc, str(name), [x for r in runs for x in r], spots.astype(np.int32), own))
+        rows.append((None, None, [], [], []))
+        last_row = [None] * (len(rows) - 1)
+        lists = lambda values, kind: pa.array([*last_row, values], pa.list_(kind))
+        docs_, names, sure, asked, own = zip(*rows, strict=True)
+        number = key[0].as_py()
+        lows, highs = zip(*open_windows, strict=True) if open_windows else ((), ())
+        return pa.table({"shard": pa.array([number] * len(rows), pa.int32()), "doc": pa.array(docs_, pa.int64()), "key_text": pa.array(names, pa.string()), "sure": pa.array(sure, pa.list_(pa.int32())), "asked": pa.array(asked, pa.list_(pa.int32())), "numbers": pa.array(own, pa.list_(pa.int32())), "lows": lists(lows, pa.int64()), "highs": lists(highs, pa.int64()), "counts": lists(counts, pa.int32())})
+
+    located = texts.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(locate, LOCATED).repartition("shard")
+    asked = located.where("doc is null and size(lows) > 0").select("shard", F.posexplode(F.arrays_zip("lows", "highs", "counts")).alias("number", "x")).select("shard", "number", F.col("x.lows").alias("low"), F.col("x.highs").alias("high"), F.col("x.counts").alias("n"))
+    twice = asked.groupBy("low", "high").agg(F.sum("n").alias("n")).where("n > 1").select("low", "high")
+    good = asked.join(twice, ["low", "high"]).groupBy("shard").agg(F.collect_list("number").alias("numbers"))
+    spans = located.where("doc is not null").select("shard", "key_text", "sure", "asked", "numbers")
+    empty = F.array().cast("array<int>")
+    return texts, spans.unionByName(good.select("shard", F.lit(None).cast("string").alias("key_text"), empty.alias("sure"), empty.alias("asked"), "numbers"))
 
 
 def without_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text): all documents without the words that repeated windows cover.
 
+    A window is `window` consecutive words; it is repeated if the same words start anywhere else.
+    1. Every window names one of its `phrase`-word phrases as its anchor, by its words alone. An
+    anchor that occurs once proves its windows unique. Those that recur are passages; the counts
+    say for each whether all its occurrences have one context, which confirms all windows it
+    stands for, or several. 2. The words of each passage are quoted from one document that holds
+    it. 3. Documents are dealt to shards of about SHARD bytes. A shard gets the passages whose
+    hashes its documents have, compiles them into one automaton, and streams all its documents
+    through it: only an occurrence that the automaton finds marks windows. A shard's automaton is
+    so bounded by the shard's text, and a passage of a third of all documents is one row a shard.
+    4. Windows of passages with several contexts are counted exactly, by 128 bits of their words,
+    first in each shard and then across shards; those found twice join the confirmed ones.
+
+    A passage of one context is told by 64 bits of its words and 64 more of its context: a wrong
+    one would need all its occurrences to collide.
+
     Windows are judged on the input. The kept words are joined by one space. Null texts count as
     empty, texts under `window` words stay whole. Ids are expected to name one row each; rows that
     repeat an id are told apart by their texts, and rows that repeat both get the same result, as
@@ -185,31 +238,34 @@ def without_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, id_col:
     """
     prepare(docs)
     repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1))
-    key = F.col(id_col)
+    key = F.col(id_col).cast("string")
     if not repeated.isEmpty():
-        key = F.concat(F.coalesce(key.cast("string"), F.lit("-")), F.lit(":"), F.sha1(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    inner = docs.select(key.alias("own_key"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
-    spans = repeated_windows(inner, window, phrase, "own_key", "own_text")
-    # the id goes with the key where the key isn't the id itself
-    whole = packed(inner.select(F.struct("own_key", "own_id").alias("k"), "own_text"), "k", "own_text").select("packed_key.own_key", "packed_key.own_id", "z")
-    joined = whole.join(spans, whole.own_key == spans.row_key, "left").select("own_id", "z", "sure", "found")
+        key = F.concat(F.coalesce(key, F.lit("-")), F.lit(":"), F.sha1(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    texts, spans = repeated_windows(docs, window, phrase, id_col, text_col, key)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            totals, removed, kept = [], [], []
-            for words, sure, found in zip(unpacked(batch.column("z")), *(batch.column(c).to_pylist() for c in ("sure", "found")), strict=True):
+    def take_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        marks, good = {}, set()
+        for name, sure, asked, numbers in zip(*(right.column(c).to_pylist() for c in ("key_text", "sure", "asked", "numbers")), strict=True):
+            if name is None:
+                good.update(numbers)
+            else:
+                marks[name] = (sure, asked, numbers)
+        totals, removed, kept = [], [], []
+        for name, z in zip(left.column("key").to_pylist(), left.column("z"), strict=True):
+            words = _words(z)
+            sure, asked, numbers = marks.get(name, ([], [], []))
+            found = [at for at, n in zip(asked, numbers, strict=True) if n in good]
+            stay = np.ones(len(words), bool)
+            if sure or found:
                 edge = np.zeros(len(words) + 1, np.int32)
-                if sure:
-                    np.add.at(edge, sure[::2], 1)
-                    np.add.at(edge, np.array(sure[1::2]) + window, -1)
-                if found:
-                    np.add.at(edge, found, 1)
-                    np.add.at(edge, np.array(found) + window, -1)
+                np.add.at(edge, np.array([*sure[::2], *found], np.int64), 1)
+                np.add.at(edge, np.array([*sure[1::2], *found], np.int64) + window, -1)
                 stay = np.cumsum(edge[:-1]) == 0
-                totals.append(len(words))
-                removed.append(int((~stay).sum()))
-                kept.append(b" ".join([w for w, s in zip(words, stay.tolist(), strict=True) if s]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("own_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
+                words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+            totals.append(len(stay))
+            removed.append(len(stay) - len(words))
+            kept.append(b" ".join(words).decode("utf-8", "replace"))
+        return pa.table({id_col: left.column("own_id"), "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_text string")
+    return texts.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(take_out, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_text string")
