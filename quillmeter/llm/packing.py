@@ -20,15 +20,24 @@ GROUP = 50_000
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds: tokens, documents, and attention cost (the sum of squared lengths)."""
+    """What one sequence holds: tokens, documents, and attention cost in tiles of a block-sparse kernel.
+
+    A document of n tokens attends to itself alone, in ceil(n / tile) squared tiles. By default a
+    sequence costs no more than one document that fills it does, 256 tiles of 128 x 128, and holds
+    128 documents: both bind where documents are short.
+    """
 
     tokens: int = 2048
-    documents: int = 2048
-    attention: int = 2048 * 2048
+    documents: int = 128
+    attention: int = 256
+    tile: int = 128
 
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.documents, self.attention], float)
 
+    def need(self, length: int) -> np.ndarray:
+        return np.array([length, 1, (-(-length // self.tile)) ** 2], float)
+
 
 def plan_packing(counts: dict[int, int], capacity: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 1e-4, 1e-3), score: str = "norm") -> list[tuple[int, int, int, int, int, int]]:
     """How pieces of each length fill sequences: rows (length, first, last, per_bin, bin, offset).
@@ -47,7 +56,7 @@ def plan_packing(counts: dict[int, int], capacity: Capacity = Capacity(), weight
     left = np.empty((0, 3))
     plan, bins = [], 0
     for length in sorted((k for k, n in counts.items() if n > 0), reverse=True):
-        need = np.array([length, 1, length * length], float)
+        need = capacity.need(length)
         if (need > whole).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
         rank, last = 0, counts[length]
@@ -126,14 +135,15 @@ class ByteBpe:
 
     Where the file's vocabulary lies beside it as ranks (.tiktoken), texts of characters up to
     U+024F take that faster library; it gives the same ids for them. All others, and all texts
-    where there is no such file, take `tokenizers` itself. Special tokens' strings are plain text.
+    where there is no such file, take `tokenizers` itself, and so do texts that hold a special
+    token's string: it is that token's id.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks and pattern:
             import tiktoken
@@ -144,7 +154,7 @@ class ByteBpe:
         self.plain = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*").fullmatch
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and self.plain(text):
+        if self.fast and self.plain(text) and not any(t in text for t in self.special):
             return self.fast.encode_ordinary(text)
         return self.whole.encode(text, add_special_tokens=False).ids
 
@@ -185,4 +195,4 @@ def token_pieces(docs: DataFrame, tokenizer=public_tokenizer, most: int = 2048,
 def pack_documents(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = token_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(cut(pieces))
+    return pack(cut(pieces), order=("doc_id", "piece", "start", "length", "ids_crc32"))
