@@ -114,7 +114,8 @@ def write_mpeg(payload: bytes) -> bytes:
 def read_mpeg(data: bytes | None) -> dict:
     """What a stream holds; any bytes are allowed.
 
-    Tags: ID3v2 at the start (text frames by name, TXXX by description), ID3v1 at the end.
+    Tags: ID3v2 at the start (text frames by name, TXXX by description), ID3v1 where the last
+    frame ends 128 bytes before the end or no frame is found any more; never within a frame.
     Frames: from the first header whose frame ends in another header of the same version, layer
     and speed, in a tag or at the end; after damage the search goes on byte by byte. A frame
     with its own checksum is counted as good or bad (layer III). A Xing, Info or VBRI table is
@@ -138,21 +139,26 @@ def read_mpeg(data: bytes | None) -> dict:
                 tags[name] = text.rstrip("\0")
             i += 10 + n
         at = stop
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            tags.setdefault(name, data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))
+    # where an ID3v1 tag would be; whether it is one shows when the walk over frames arrives there
+    tail = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else None
     out = {"tags": tags, "vbr": None, "samples": 0, "hertz": 0, "offsets": [], "bodies": [], "bitrates": {}, "crc_good": 0, "crc_bad": 0, "skipped": 0}
     seconds, like, trim = Fraction(0), None, 0
     while at + 4 <= end:
+        if at == tail:
+            end = tail
+            for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+                tags.setdefault(name, data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))
+            break
         h = frame_header(data, at)
         ok = h is not None and at + h["size"] <= end and (like is None or like == (h["version"], h["layer"], h["hertz"]))
-        if ok and at + h["size"] != end and like is None:
+        if ok and at + h["size"] not in (end, tail) and like is None:
             after = frame_header(data, at + h["size"])
             ok = after is not None and (after["version"], after["layer"], after["hertz"]) == (h["version"], h["layer"], h["hertz"])
         if not ok:
             following = data.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
+            if tail is not None and at < tail:
+                following = min(following, tail)
             out["skipped"] += following - at
             at = following
             continue

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmeter.llm import media, mixing, neardup, packing, phrases, pii, secrets, toxicity, vectors, warc
-from quillmeter.llm.common import prepare
+from quillmeter.llm.common import cut, prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.read_media(media.text_media(table(spark, sf_dir, "documents")))
-    seek = F.substring(F.sha2(F.array_join(F.transform("seek", lambda x: x.cast("string")), ",").cast("binary"), 256), 1, 16)
-    feature = F.concat_ws(";", F.concat(F.lit("seconds="), "seconds_num", F.lit("/"), "seconds_den"), F.concat(F.lit("frames="), "frames"), F.concat(F.lit("crc="), "crc_good", F.lit("+"), "crc_bad"), F.concat(F.lit("kbits="), "bitrates"), F.concat(F.lit("seek="), seek))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "samples", "hertz", "frames")
+    feature = F.concat_ws(";", F.concat(F.lit("seconds="), "seconds_num", F.lit("/"), "seconds_den"), F.concat(F.lit("frames="), "frames"), F.concat(F.lit("crc="), "crc_good", F.lit("+"), "crc_bad"), F.concat(F.lit("kbits="), "bitrates"), F.concat(F.lit("last="), F.coalesce(F.try_element_at("seek", F.lit(-1)), F.lit(-1))))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "samples", "hertz", "frames", "seek")
 
 
 def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +46,9 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(pages)
     path = warc.archive_folder(spark)
     warc.write_archives(pages, path)
-    captures = warc.transactions(warc.read_records(spark, path, payloads=False))
-    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^urn:page:(-?[0-9]+)', 1), '') as bigint)")
-    return captures.select(number("record_id").alias("page_id"), F.element_at("metadata", 1)["payload_length"].alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), number("response.refers_to").alias("refers_to"), F.size("requests").alias("n_requests"))
+    # the archives are read and parsed once, bodies counted and hashed there
+    records = cut(warc.read_records(spark, path, payloads=False))
+    return warc.page_captures(cut(warc.transactions(records)))
 
 
 def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmeter.llm.common import prepare, shared_folder
 
+#: Bytes of payload in one archive at most, unless a single page has more.
+FILE_BYTES = 256 << 20
 #: Rows with this many at most go to all executors at once; more are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -48,7 +52,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     body; rows that share the smallest page_id are responses all, and so is a page without an id.
     The metadata record has the payload's length. Record identifiers name the page and, as ids may
     repeat, a random part that is made in the same task as the records and read back from them.
-    Files are split at 1,000 pages.
+    Files hold 1,000 pages at most, and so few that their payloads stay below FILE_BYTES.
     """
     prepare(pages)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), clean_url(F.col("url")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
@@ -76,15 +80,22 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     about = _record(F.lit("metadata"), F.concat("name", F.lit(":metadata")), [*common, ("WARC-Concurrent-To", concurrent)], "application/warc-fields", fields)
     # a row is three records; the writer's line end is the last of each
     lines = p.select(F.concat(request, F.lit(LINE), main, F.lit(LINE), about).alias("value"))
-    lines.write.option("lineSep", LINE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1000).mode("errorifexists").text(path)
+    longest = pages.agg(F.max(F.octet_length("html")).alias("n")).first()["n"] or 1
+    lines.write.option("lineSep", LINE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", max(1, min(1000, FILE_BYTES // longest))).mode("errorifexists").text(path)
+
+
+class DamagedArchive(ValueError):
+    """An archive that ends within a record, or has a record without a length."""
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of an archive, gzip'ed or plain.
 
     Blocks are found by Content-Length alone, so a body that holds "WARC/1.1" is no trouble. A
-    record that is cut off, or whose length is no number, ends the archive.
+    record that is cut off, or whose length is no number, raises DamagedArchive after those before
+    it; so does a broken gzip member. Zeros after the last member are padding.
     """
+    whole = True
     if data[:2] == b"\x1f\x8b":
         parts = []
         while data:
@@ -92,32 +103,43 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             try:
                 parts.append(one.decompress(data))
             except zlib.error:
+                whole = False
                 break
+            whole = one.eof
             data = one.unused_data.lstrip(b"\0")
         data = b"".join(parts)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         stop = data.find(b"\r\n\r\n", at)
         if stop < 0:
-            return
+            raise DamagedArchive("a record's header is cut off")
         fields = {}
         for line in data[at:stop].decode("utf-8", "replace").split(LINE)[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
         if not fields.get("content-length", "").isdigit():
-            return
+            raise DamagedArchive("a record has no length")
         size = int(fields["content-length"])
         if stop + 4 + size > len(data):
-            return
+            raise DamagedArchive("a record's block is cut off")
         yield fields, data[stop + 4 : stop + 4 + size]
         at = stop + 4 + size
+    if not whole:
+        raise DamagedArchive("a gzip member is cut off")
+
 
+RECORDS = "record_id string, type string, concurrent_to string, target_uri string, refers_to string, payload_digest string, content_type string, block_bytes bigint, payload_bytes bigint, payload_sha1 string, payload binary, payload_length bigint"
 
-RECORDS = "record_id string, type string, concurrent_to string, target_uri string, refers_to string, payload_digest string, content_type string, block_bytes bigint, payload binary, payload_length bigint"
 
+def read_records(spark: SparkSession, path: str, payloads: bool = True, damaged: str = "raise") -> DataFrame:
+    """One row a record of the archives below path.
 
-def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row a record of the archives below path; http bodies as payload unless payloads is False."""
+    Of http records, payload_bytes and payload_sha1 (bare base32) are those of the body as it was
+    read; the body itself is payload unless payloads is False. payload_digest is what the header
+    states. A damaged archive fails the job, or ends early where damaged is "skip".
+    """
+    if damaged not in ("raise", "skip"):
+        raise ValueError(damaged)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     prepare(files)
     names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -126,19 +148,28 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     def bare(value: str | None) -> str | None:
         return value.strip("<>") if value else None
 
+    def all_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        try:
+            yield from records_of(data)
+        except DamagedArchive:
+            if damaged == "raise":
+                raise
+
     def rows(data: bytes) -> Iterator[tuple]:
-        for h, block in records_of(data):
-            payload, length = None, None
+        for h, block in all_of(data):
+            payload, length, size, sha1 = None, None, None, None
             if "application/http" in h.get("content-type", ""):
                 _, cut, body = block.partition(b"\r\n\r\n")
-                payload = body if payloads and cut else None
+                if cut:
+                    payload = body if payloads else None
+                    size, sha1 = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
             elif "warc-fields" in h.get("content-type", ""):
                 for line in block.decode("utf-8", "replace").splitlines():
                     name, _, value = line.partition(":")
                     if name == "payload-length" and value.strip().isdigit():
                         length = int(value)
             digest = h.get("warc-payload-digest")
-            yield bare(h.get("warc-record-id")), h.get("warc-type"), bare(h.get("warc-concurrent-to")), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), digest.removeprefix("sha1:") if digest else None, h.get("content-type"), len(block), payload, length
+            yield bare(h.get("warc-record-id")), h.get("warc-type"), bare(h.get("warc-concurrent-to")), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), digest.removeprefix("sha1:") if digest else None, h.get("content-type"), len(block), size, sha1, payload, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +193,7 @@ def transactions(records: DataFrame) -> DataFrame:
     and one that a response names. A response without such records keeps its row with empty lists;
     records that name no capture here are left out. Repeated records stay in the lists.
     """
-    own = ["record_id", "type", "target_uri", "refers_to", "payload_digest", "content_type", "block_bytes", "payload", "payload_length"]
+    own = ["record_id", "type", "target_uri", "refers_to", "payload_digest", "content_type", "block_bytes", "payload_bytes", "payload_sha1", "payload", "payload_length"]
     captures = records.where("type in ('response', 'revisit', 'resource')")
     others = records.where("type in ('request', 'metadata')")
     named = others.where("concurrent_to is not null").withColumn("capture", F.col("concurrent_to"))
@@ -178,6 +209,29 @@ def transactions(records: DataFrame) -> DataFrame:
     return joined.select("record_id", "response", empty("requests").alias("requests"), empty("metadata").alias("metadata"))
 
 
+def page_of(name: str) -> Column:
+    """The page's id in a record's or page's name, or null."""
+    return F.expr(f"try_cast(nullif(regexp_extract({name}, '^urn:page:(-?[0-9]+)', 1), '') as bigint)")
+
+
+def page_captures(captures: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, n_requests) of transactions that write_archives wrote.
+
+    Length and digest are those of the body that was read: a response's own; of a revisit, which
+    has none, the body of the response it refers to. A revisit is tied to a response of that page
+    whose body has the digest that the revisit states; without one, both figures are null.
+    """
+    page, refers = page_of("record_id"), page_of("response.refers_to")
+    rows = captures.select(page.alias("page_id"), F.col("response.type").alias("record_type"), refers.alias("refers_to"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_sha1").alias("own_sha1"), F.col("response.payload_digest").alias("stated"), F.size("requests").alias("n_requests"))
+    revisits = rows.where("record_type = 'revisit'")
+    first = revisits.select(F.col("refers_to").alias("id")).distinct()
+    bodies = rows.where("record_type <> 'revisit'").join(first, F.col("page_id") == F.col("id"), "left_semi")
+    bodies = bodies.groupBy(F.col("page_id").alias("body_id"), F.col("own_sha1").alias("body_sha1")).agg(F.max("own_bytes").alias("body_bytes"))
+    again = revisits.join(bodies, (F.col("refers_to") == F.col("body_id")) & (F.col("stated") == F.col("body_sha1")), "left")
+    out = lambda size, digest: ["page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "n_requests"]
+    return rows.where("record_type <> 'revisit'").select(*out(F.col("own_bytes"), F.col("own_sha1"))).unionByName(again.select(*out(F.col("body_bytes"), F.col("body_sha1"))))
+
+
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives in the shared one."""
     return f"{shared_folder(spark)}/warc-{datetime.now(timezone.utc):%Y%m%d}-{uuid.uuid4().hex}"
