@@ -21,8 +21,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: What an unseen identifier looks like: 6 characters or more with a digit. It ends with its run's last
 #: letter or digit; punctuation may follow. Runs are entered at their start, and repetition never goes back.
 TOKEN = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]*+[0-9])(?=[A-Za-z0-9._@+/-]{5}[._@+/-]*+[A-Za-z0-9])[A-Za-z0-9@+][A-Za-z0-9]*+(?:[._@+/-]++[A-Za-z0-9]++)*+"
-#: Code points to the left that a context is taken from, and its words.
-LEFT, WORDS = 60, 2
+#: Code points to either side that contexts are taken from.
+REACH = 60
 
 
 def _digits(s: Column) -> Column:
@@ -52,28 +52,46 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The last WORDS words before a place, lower-cased, digits as 0; null where there are fewer."""
-    before = F.substring(text, F.greatest(F.lit(1), start - LEFT + 1).cast("int"), F.least(F.lit(LEFT), start).cast("int"))
-    words = rf"([^\s]{{1,25}}(?:\s+[^\s]{{1,25}}){{{WORDS - 1}}})\s*$"
-    found = F.regexp_extract(F.lower(before), words, 1)
-    return F.when(found != "", F.regexp_replace(F.regexp_replace(found, "[0-9]", "0"), r"\s+", " "))
+def _plain(words: Column) -> Column:
+    """Words in lower case, digits as 0, one space between them."""
+    return F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]", "0"), r"\s+", " ")
+
+
+def contexts(text: Column, start: Column, end: Column) -> Column:
+    """The lexical patterns of a place: the two words before it, the two after it, and one to either side with a gap between.
+
+    A word is up to 25 characters without white space; where a side has too few, its patterns are
+    left out. Patterns say where they stand: "a b _", "_ c d", "b _ c".
+    """
+    before = F.substring(text, F.greatest(F.lit(1), start - REACH + 1).cast("int"), F.least(F.lit(REACH), start).cast("int"))
+    after = F.substring(text, (end + 1).cast("int"), F.lit(REACH))
+    found = lambda side, pattern: F.regexp_extract(side, pattern, 1)
+    left2, left1 = found(before, r"(?:^|\s)([^\s]{1,25}\s+[^\s]{1,25})\s*$"), found(before, r"(?:^|\s)([^\s]{1,25})\s*$")
+    right2, right1 = found(after, r"^[^\sA-Za-z0-9]*\s+([^\s]{1,25}\s+[^\s]{1,25})(?=\s|$)"), found(after, r"^[^\sA-Za-z0-9]*\s+([^\s]{1,25})(?=\s|$)")
+    made = [
+        F.when(left2 != "", F.concat(_plain(left2), F.lit(" _"))),
+        F.when(right2 != "", F.concat(F.lit("_ "), _plain(right2))),
+        F.when((left1 != "") & (right1 != ""), F.concat(_plain(left1), F.lit(" _ "), _plain(right1))),
+    ]
+    return F.array_compact(F.array(*made))
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
-    """(id, text_key, start, end, value, seed, pattern): base spans and look-alike tokens with their contexts.
+    """(id, text_key, start, end, value, seed, pattern): base spans and look-alike tokens, a row for each of their contexts.
 
     scanned has id, text_key, text and base (spans). A token that meets a base span is no candidate.
     """
     tokens = F.filter(matches(F.col("text"), TOKEN, "context"), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     rows = scanned.select("id", "text_key", "text", F.explode(F.concat("base", tokens)).alias("s"))
-    return rows.select("id", "text_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), (F.col("s.kind") != "context").alias("seed"), _context(F.col("text"), F.col("s.start")).alias("pattern")).where("pattern is not null")
+    rows = rows.select("id", "text_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), (F.col("s.kind") != "context").alias("seed"), contexts(F.col("text"), F.col("s.start"), F.col("s.end")).alias("patterns"))
+    return rows.select("id", "text_key", "start", "end", "value", "seed", F.explode("patterns").alias("pattern"))
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.8) -> DataFrame:
     """(pattern, value) of the unseen identifiers that trusted patterns extract from occurrences.
 
-    The graph has an edge for each pattern and value that occur together. Seeds have score 1 for
+    The graph has an edge for each pattern and value that occur together; contexts() says what
+    patterns there are. Seeds have score 1 for
     good, other values 0 at first. Each round scores a pattern by its values' mean score, one more
     value of score 0 counted in, if `support` distinct values of positive score or more hold it
     up; then a value by the chance that not all of its patterns are wrong. Patterns that reach
