@@ -17,7 +17,7 @@ from quillmeter.llm.common import cut, prepare
 #: Labelled texts that a model is fitted on at most, by class.
 FIT_TOXIC, FIT_ORDINARY = 2500, 5000
 #: Words of a window of running text, and from one window's start to the next's: windows overlap by half.
-WINDOW, STRIDE = 8, 4
+WINDOW, STRIDE = 12, 6
 #: Bytes of the dictionaries' ordinary and toxic content, and what each round of lost windows may add.
 ORDINARY, TOXIC, LOST = 60_000, 20_000, 20_000
 #: Rounds in which ordinary windows that the toxic dictionary wins by WON bytes are learned, if there are so many.
@@ -29,7 +29,7 @@ STEPS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24)
 
 EDGE = ".,;:!?|\"'()[]{}<>#$%&*@-_/\\"
 #: How windows are compressed: as UTF-16, where a word outweighs the fixed cost of a match, without a frame's own fields.
-LEVEL = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 6, "target_length": 64, "strategy": zstandard.STRATEGY_BTOPT}
+LEVEL = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 5, "min_match": 6, "target_length": 64, "strategy": zstandard.STRATEGY_BTLAZY2}
 
 
 def words_of(text: str | None) -> list[str]:
