@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,6 +18,8 @@ from quillmeter.llm.neardup import words_of
 
 #: Bytes of text that one shard of documents, and so the passages that its automaton must know, stands for.
 SHARD = 16 << 20
+#: Kinds of what a shard tells: places by document, windows that stay open, and those of them that recur.
+MARKS, WINDOWS, CONFIRMED = 0, 1, 2
 #: Bits of a place's number that tell the word; the others tell the document.
 SPOT = 24
 
@@ -103,27 +107,35 @@ def _scan(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
     return dealt.select("doc", "text", F.octet_length("text").cast("long").alias("size")).mapInArrow(run, "doc bigint, size bigint, anchors array<bigint>, contexts array<bigint>, places array<int>")
 
 
-def compiled(passages: dict[bytes, bool]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
-    """An automaton over words that finds passages (words joined by one space) and gives each one's value; the words' numbers."""
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for passage, value in passages.items():
-        automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in passage.split(b" ")]), value)
-    if passages:
-        automaton.make_automaton()
-    return automaton, numbers
-
-
-def occurrences(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[bytes, int], length: int) -> np.ndarray:
-    """By word, the value of the passage of `length` words that starts there, or -1; words that no passage has are number 0."""
-    found = np.full(max(1, len(words)), -1, np.int8)
-    if numbers:
-        for end, value in automaton.iter(tuple([numbers.get(w, 0) for w in words])):
-            found[end - length + 1] = value
-    return found
+class Automaton:
+    """An Aho-Corasick automaton of passages, runs of words that are joined by one space, each with a value.
 
+    Words become numbers and numbers three letters of 256, the highest first, as a node of the
+    automaton searches its branches one by one: a branch a word would make the root as wide as
+    the vocabulary.
+    """
 
-LOCATED = "shard int, doc bigint, key_text string, sure array<int>, asked array<int>, numbers array<int>, lows array<bigint>, highs array<bigint>, counts array<int>"
+    def __init__(self, passages: dict[bytes, bool]):
+        self.numbers: dict[bytes, int] = {}
+        known = [(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in p.split(b" ")], ">u4"), value) for p, value in passages.items()]
+        self.letters = 3 if len(self.numbers) < 1 << 24 else 4
+        self.automaton = ahocorasick.Automaton()
+        for ids, value in known:
+            self.automaton.add_word(self.spelled(ids), value)
+        self.automaton.make_automaton()
+
+    def spelled(self, ids: np.ndarray) -> str:
+        return ids.view(np.uint8).reshape(-1, 4)[:, 4 - self.letters :].tobytes().decode("latin-1")
+
+    def found(self, words: list[bytes], length: int) -> np.ndarray:
+        """By word, the value of the passage of `length` words that starts there, or -1; words that no passage has are number 0."""
+        out = np.full(max(1, len(words)), -1, np.int8)
+        if self.numbers:
+            n = self.letters
+            for end, value in self.automaton.iter(self.spelled(np.array([self.numbers.get(w, 0) for w in words], ">u4"))):
+                if end % n == n - 1:
+                    out[end // n - length + 1] = value
+        return out
 
 
 def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, text_col: str, key) -> tuple[DataFrame, DataFrame]:
@@ -167,12 +179,12 @@ def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, tex
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Streams a shard's documents through the automaton of its passages; numbers the windows that stay open."""
-        automaton, numbers = compiled(dict(zip(right.column("passage").to_pylist(), right.column("several").to_pylist(), strict=True)))
+        automaton = Automaton(dict(zip(right.column("passage").to_pylist(), right.column("several").to_pylist(), strict=True)))
         hashes, open_windows, counts = WordHashes(), {}, []
-        rows: list[tuple] = []
-        for doc, name, z in zip(left.column("doc").to_pylist(), left.column("key").to_pylist(), left.column("z"), strict=True):
+        marks: dict[str, tuple] = {}
+        for name, z in zip(left.column("key").to_pylist(), left.column("z"), strict=True):
             words = _words(z)
-            found = occurrences(words, automaton, numbers, phrase)
+            found = automaton.found(words, phrase)
             if (found < 0).all():
                 continue
             h = hashes.of(words)
@@ -195,25 +207,28 @@ def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, tex
                 counts += [0] * (len(open_windows) - len(counts))
                 for i in own:
                     counts[i] += 1
-            rows.append((doc, str(name), [x for r in runs for x in r], spots.astype(np.int32), own))
-        rows.append((None, None, [], [], []))
-        last_row = [None] * (len(rows) - 1)
-        lists = lambda values, kind: pa.array([*last_row, values], pa.list_(kind))
-        docs_, names, sure, asked, own = zip(*rows, strict=True)
-        number = key[0].as_py()
-        lows, highs = zip(*open_windows, strict=True) if open_windows else ((), ())
-        return pa.table({"shard": pa.array([number] * len(rows), pa.int32()), "doc": pa.array(docs_, pa.int64()), "key_text": pa.array(names, pa.string()), "sure": pa.array(sure, pa.list_(pa.int32())), "asked": pa.array(asked, pa.list_(pa.int32())), "numbers": pa.array(own, pa.list_(pa.int32())), "lows": lists(lows, pa.int64()), "highs": lists(highs, pa.int64()), "counts": lists(counts, pa.int32())})
-
-    located = texts.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(locate, LOCATED).repartition("shard")
-    asked = located.where("doc is null and size(lows) > 0").select("shard", F.posexplode(F.arrays_zip("lows", "highs", "counts")).alias("number", "x")).select("shard", "number", F.col("x.lows").alias("low"), F.col("x.highs").alias("high"), F.col("x.counts").alias("n"))
+            marks[name] = (np.array(runs, np.int32).tobytes(), spots.astype(np.int32).tobytes(), np.array(own, np.int32).tobytes())
+        asked = np.array([*open_windows, (0, 0)], np.int64)[:-1]
+        told = [zlib.compress(pickle.dumps(x), 1) for x in (marks, (asked[:, 0].tobytes(), asked[:, 1].tobytes(), np.array(counts, np.int32).tobytes()))]
+        return pa.table({"shard": pa.array([key[0].as_py()] * 2, pa.int32()), "kind": pa.array([MARKS, WINDOWS], pa.int32()), "told": pa.array(told, pa.binary())})
+
+    # what a shard tells is opaque to Spark, so that both its readers share one exchange, and one run of the automata
+    located = texts.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(locate, "shard int, kind int, told binary").repartition("shard")
+
+    def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, kind, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == WINDOWS:
+                    low, high, n = (np.frombuffer(x, t) for x, t in zip(pickle.loads(zlib.decompress(told)), (np.int64, np.int64, np.int32), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(low), pa.array(high), pa.array(n)], names=["shard", "number", "low", "high", "n"])
+
+    asked = located.mapInArrow(open_windows, "shard int, number int, low bigint, high bigint, n int")
     twice = asked.groupBy("low", "high").agg(F.sum("n").alias("n")).where("n > 1").select("low", "high")
-    good = asked.join(twice, ["low", "high"]).groupBy("shard").agg(F.collect_list("number").alias("numbers"))
-    spans = located.where("doc is not null").select("shard", "key_text", "sure", "asked", "numbers")
-    empty = F.array().cast("array<int>")
-    return texts, spans.unionByName(good.select("shard", F.lit(None).cast("string").alias("key_text"), empty.alias("sure"), empty.alias("asked"), "numbers"))
+    good = asked.join(twice, ["low", "high"]).groupBy("shard").agg(F.array_join(F.collect_list("number"), ",").cast("binary").alias("told"))
+    return texts, located.unionByName(good.select("shard", F.lit(CONFIRMED).alias("kind"), "told"))
 
 
-def without_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 35, phrase: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text): all documents without the words that repeated windows cover.
 
     A window is `window` consecutive words; it is repeated if the same words start anywhere else.
@@ -245,22 +260,22 @@ def without_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def take_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, good = {}, set()
-        for name, sure, asked, numbers in zip(*(right.column(c).to_pylist() for c in ("key_text", "sure", "asked", "numbers")), strict=True):
-            if name is None:
-                good.update(numbers)
-            else:
-                marks[name] = (sure, asked, numbers)
+        marks, good = {}, np.empty(0, np.int64)
+        for what, told in zip(right.column("kind").to_pylist(), right.column("told").to_pylist(), strict=True):
+            if what == MARKS:
+                marks = pickle.loads(zlib.decompress(told))
+            elif what == CONFIRMED:
+                good = np.array(told.split(b","), np.int64)
         totals, removed, kept = [], [], []
         for name, z in zip(left.column("key").to_pylist(), left.column("z"), strict=True):
             words = _words(z)
-            sure, asked, numbers = marks.get(name, ([], [], []))
-            found = [at for at, n in zip(asked, numbers, strict=True) if n in good]
             stay = np.ones(len(words), bool)
-            if sure or found:
+            if name in marks:
+                runs, asked, numbers = (np.frombuffer(x, np.int32) for x in marks[name])
+                found = asked[np.isin(numbers, good)]
                 edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, np.array([*sure[::2], *found], np.int64), 1)
-                np.add.at(edge, np.array([*sure[1::2], *found], np.int64) + window, -1)
+                np.add.at(edge, np.concatenate([runs[::2], found]), 1)
+                np.add.at(edge, np.concatenate([runs[1::2], found]) + window, -1)
                 stay = np.cumsum(edge[:-1]) == 0
                 words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
             totals.append(len(stay))
