@@ -180,7 +180,7 @@ def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, tex
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Streams a shard's documents through the automaton of its passages; numbers the windows that stay open."""
         automaton = Automaton(dict(zip(right.column("passage").to_pylist(), right.column("several").to_pylist(), strict=True)))
-        hashes, open_windows, counts = WordHashes(), {}, []
+        hashes, windows, held = WordHashes(), [], 0
         marks: dict[str, tuple] = {}
         for name, z in zip(left.column("key").to_pylist(), left.column("z"), strict=True):
             words = _words(z)
@@ -198,18 +198,17 @@ def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, tex
                     runs.append([a, b])
             several = np.flatnonzero(state == 1)
             spots = np.concatenate([np.arange(first[k], last[k] + 1) for k in several]) if len(several) else np.empty(0, np.int64)
-            own = []
             if len(spots):
                 # 128 bits of a window's words, by hashes of words that are independent of each other
                 second = mixed(h ^ np.uint64(0xD6E8FEB86659FD93))
-                for pair in zip(gram_hashes(h, window)[spots].view(np.int64).tolist(), gram_hashes(second, window)[spots].view(np.int64).tolist(), strict=True):
-                    own.append(open_windows.setdefault(pair, len(open_windows)))
-                counts += [0] * (len(open_windows) - len(counts))
-                for i in own:
-                    counts[i] += 1
-            marks[name] = (np.array(runs, np.int32).tobytes(), spots.astype(np.int32).tobytes(), np.array(own, np.int32).tobytes())
-        asked = np.array([*open_windows, (0, 0)], np.int64)[:-1]
-        told = [zlib.compress(pickle.dumps(x), 1) for x in (marks, (asked[:, 0].tobytes(), asked[:, 1].tobytes(), np.array(counts, np.int32).tobytes()))]
+                windows.append(np.stack([gram_hashes(h, window)[spots], gram_hashes(second, window)[spots]], axis=1).view(np.int64))
+            marks[name] = [np.array(runs, np.int32).tobytes(), spots.astype(np.int32).tobytes(), held, held + len(spots)]
+            held += len(spots)
+        pairs = np.concatenate([np.empty((0, 2), np.int64), *windows])
+        asked, numbers, counts = np.unique(pairs, axis=0, return_inverse=True, return_counts=True)
+        numbers = numbers.reshape(-1).astype(np.int32)
+        marks = {name: (runs, spots, numbers[a:b].tobytes()) for name, (runs, spots, a, b) in marks.items()}
+        told = [zlib.compress(pickle.dumps(x), 1) for x in (marks, (asked[:, 0].tobytes(), asked[:, 1].tobytes(), counts.astype(np.int32).tobytes()))]
         return pa.table({"shard": pa.array([key[0].as_py()] * 2, pa.int32()), "kind": pa.array([MARKS, WINDOWS], pa.int32()), "told": pa.array(told, pa.binary())})
 
     # what a shard tells is opaque to Spark, so that both its readers share one exchange, and one run of the automata
@@ -260,19 +259,23 @@ def without_repeats(docs: DataFrame, window: int = 35, phrase: int = 8, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def take_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, good = {}, np.empty(0, np.int64)
+        marks, good, most = {}, np.empty(0, np.int64), 0
         for what, told in zip(right.column("kind").to_pylist(), right.column("told").to_pylist(), strict=True):
             if what == MARKS:
                 marks = pickle.loads(zlib.decompress(told))
-            elif what == CONFIRMED:
+            elif what == WINDOWS:
+                most = len(pickle.loads(zlib.decompress(told))[2]) // 4
+            else:
                 good = np.array(told.split(b","), np.int64)
+        confirmed = np.zeros(most, bool)
+        confirmed[good] = True
         totals, removed, kept = [], [], []
         for name, z in zip(left.column("key").to_pylist(), left.column("z"), strict=True):
             words = _words(z)
             stay = np.ones(len(words), bool)
             if name in marks:
                 runs, asked, numbers = (np.frombuffer(x, np.int32) for x in marks[name])
-                found = asked[np.isin(numbers, good)]
+                found = asked[confirmed[numbers]]
                 edge = np.zeros(len(words) + 1, np.int32)
                 np.add.at(edge, np.concatenate([runs[::2], found]), 1)
                 np.add.at(edge, np.concatenate([runs[1::2], found]) + window, -1)
