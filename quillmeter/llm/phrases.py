@@ -205,8 +205,12 @@ def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, tex
             marks[name] = [np.array(runs, np.int32).tobytes(), spots.astype(np.int32).tobytes(), held, held + len(spots)]
             held += len(spots)
         pairs = np.concatenate([np.empty((0, 2), np.int64), *windows])
-        asked, numbers, counts = np.unique(pairs, axis=0, return_inverse=True, return_counts=True)
-        numbers = numbers.reshape(-1).astype(np.int32)
+        _, seen, numbers, counts = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        # in the order in which they come up, numbers are runs and take little room
+        order = np.argsort(seen)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        numbers, asked, counts = rank[numbers.reshape(-1)], pairs[seen[order]], counts[order]
         marks = {name: (runs, spots, numbers[a:b].tobytes()) for name, (runs, spots, a, b) in marks.items()}
         told = [zlib.compress(pickle.dumps(x), 1) for x in (marks, (asked[:, 0].tobytes(), asked[:, 1].tobytes(), counts.astype(np.int32).tobytes()))]
         return pa.table({"shard": pa.array([key[0].as_py()] * 2, pa.int32()), "kind": pa.array([MARKS, WINDOWS], pa.int32()), "told": pa.array(told, pa.binary())})
