@@ -240,7 +240,15 @@ NAMES = {
     "gpt-5-codex-high": ("gpt-5-codex", "effort_suffix"),
     "kimi-k2": ("moonshot/kimi-k2", "provider_prefixed"),
     "claude-opus-4-1-20250805": ("claude-opus-4-1", "release_suffix"),
-    "gemini-2.5-pro-preview-05-06": ("gemini-2.5-pro", "release_suffix"),
+    "claude-sonnet-4-5-thinking": ("claude-sonnet-4-5", "release_suffix"),
+    "claude-sonnet-4-5@20250929": ("claude-sonnet-4-5", "release_suffix"),
+    "claude-opus-4-1-20250805-v1:0": ("claude-opus-4-1", "release_suffix"),
+    "us/claude-opus-4-1-2025-08-05-high": ("claude-opus-4-1", "release_suffix"),
+    "gpt-5-codex-latest": ("gpt-5-codex", "release_suffix"),
+    "gpt-5-codex-v2": (None, None),
+    "gemini-2.5-pro-preview-05-06": (None, None),
+    "moonshot/kimi-k2-thinking": (None, None),
+    "gpt-5-codex-mini": (None, None),
     "gemni-2.5-flash": ("gemini-2.5-flash", "fuzzy"),
     "gpt5-minii": ("gpt-5-mini", "fuzzy"),
     "unknown-model": (None, None),
@@ -510,50 +518,33 @@ def streak_current(spark: SparkSession, d: str) -> DataFrame:
     return windows.current_streak(b.usage(spark, d).withColumn("day", F.to_date("ts")), "2024-01-20", ["session_id"])
 
 
-LINE_DAYS = f"{LINES}, dd as (select {DAY} as day, sum(total_tokens)::bigint as total_tokens, {MONEY} as cost_usd from usage where project = '/ASIA/JAPAN' or day(ts) % 9 = 0 group by all), cal as (select strftime(unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day)), '%Y-%m-%d') as day from dd), full_ as (select day, coalesce(total_tokens, 0) as total_tokens, coalesce(cost_usd, 0) as cost_usd, total_tokens is not null as observed from cal left join dd using (day))"
-
-
-def uneven(spark: SparkSession, d: str) -> DataFrame:
-    return b.line_usage(spark, d).where("repo_root = '/ASIA/JAPAN' or day(ts) % 9 = 0")
+LINE_DAYS = f"{LINES}, dd as (select {DAY} as day, sum(total_tokens)::bigint as total_tokens, {MONEY} as cost_usd from usage group by all), cal as (select strftime(unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day)), '%Y-%m-%d') as day from dd), full_ as (select day, coalesce(total_tokens, 0) as total_tokens, coalesce(cost_usd, 0) as cost_usd, total_tokens is not null as observed from cal left join dd using (day))"
 
 
 @query(f"{LINE_DAYS}, ww as (select day, cost_usd, list_sort(list_filter(list(cost_usd) over (order by day rows between 28 preceding and 1 preceding), lambda c: c > 0)) as v from full_), mm as (select *, case when len(v) % 2 = 1 then v[len(v) // 2 + 1] when len(v) > 0 then (v[len(v) // 2] + v[len(v) // 2 + 1]) / 2 end as median_usd from ww) select day, cost_usd, median_usd from mm where cost_usd >= 1 and len(v) >= 3 and cost_usd >= 3 * median_usd")
 def spend_spikes(spark: SparkSession, d: str) -> DataFrame:
-    return windows.spend_spikes(uneven(spark, d))
+    return windows.spend_spikes(b.line_usage(spark, d))
 
 
 @query(f"{LINE_DAYS}, v as (select list_sort(list(total_tokens)) as v from dd where total_tokens > 0), q as (select v[floor(0.25 * (len(v) - 1))::int + 1] as a, v[floor(0.5 * (len(v) - 1))::int + 1] as b, v[floor(0.75 * (len(v) - 1))::int + 1] as c from v) select day, total_tokens, (case when total_tokens <= 0 then 0 when total_tokens <= a then 1 when total_tokens <= b then 2 when total_tokens <= c then 3 else 4 end)::bigint as level from full_, q")
 def activity_levels(spark: SparkSession, d: str) -> DataFrame:
-    return windows.activity_levels(uneven(spark, d))
+    return windows.activity_levels(b.line_usage(spark, d))
 
 
 @query(f"{LINE_DAYS} select day, total_tokens, cost_usd, false as cost_incomplete, observed from full_")
 def trends_dense(spark: SparkSession, d: str) -> DataFrame:
-    return windows.trends(uneven(spark, d))
-
-
-# The three above see a cut of the lines, which their SQL shares; these say the same of the whole table.
-CUT = " where project = '/ASIA/JAPAN' or day(ts) % 9 = 0"
-
-
-@query(SQL["spend_spikes"].replace(CUT, ""))
-def spend_spikes_whole(spark: SparkSession, d: str) -> DataFrame:
-    return windows.spend_spikes(b.line_usage(spark, d))
-
-
-@query(SQL["activity_levels"].replace(CUT, ""))
-def activity_levels_whole(spark: SparkSession, d: str) -> DataFrame:
-    return windows.activity_levels(b.line_usage(spark, d))
+    return windows.trends(b.line_usage(spark, d))
 
 
-@query(SQL["trends_dense"].replace(CUT, ""))
-def trends_dense_whole(spark: SparkSession, d: str) -> DataFrame:
-    return windows.trends(b.line_usage(spark, d))
+# a gap over midnight belongs to both days, to each with its own part
+AGENT = f"""{GAPS}, cut as (select source, ms, gap, least(gap, ms % 86400000) as late from gaps where gap <= 300000), parts as (
+  select {DAY} as day, source, 0 as ms from usage union all select strftime(make_timestamp_ms(ms), '%Y-%m-%d'), source, late from cut
+  union all select strftime(make_timestamp_ms(ms - gap), '%Y-%m-%d'), source, gap - late from cut where gap > late)"""
 
 
-@query(f"{U}, {GAPS} select {DAY} as day, source, coalesce(sum(gap) filter (gap <= 300000), 0)::bigint as agent_ms from gaps group by all")
+@query(f"{U}, {AGENT} select day, source, sum(ms)::bigint as agent_ms from parts group by all")
 def agent_time(spark: SparkSession, d: str) -> DataFrame:
-    return reports.agent_time(b.usage(spark, d))
+    return reports.agent_time(b.usage(spark, d)).withColumnRenamed("period", "day")
 
 
 # counting once, merging, attribution
@@ -589,16 +580,34 @@ def dedupe_copied_sessions(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.copied_sessions(u.unionByName(copy)).select("source", "session_id", "event_index")
 
 
-@query(f"{U} select coalesce(machine, 'local') as machine, count(*) as events, sum(total_tokens)::bigint as total_tokens from usage group by all")
+MERGED = """far0 as (
+  select event_index, machine, h, case when event_index % 4 = 0 then null else 'm' || event_index % 1000 end as mid, case when event_index % 6 < 3 then null else 'r' || event_index % 7 end as rid from hashed where machine is not null
+), far as (select *, case when mid is null and rid is null then '' else coalesce(mid, '') || '|' || coalesce(rid, '') end as id from far0
+), near as (select event_index, h, case when event_index % 15 < 5 then '' when event_index % 15 < 10 then id else 'other|' end as id from far where event_index % 5 = 0
+), n as (select h, count(*) filter (id <> '') as w, count(*) filter (id = '') as b from near group by h), o as (select h, id, count(*) as a from near where id <> '' group by all
+), p as (
+  select f.*, coalesce(o.a, 0) as a, coalesce(n.w, 0) as w, coalesce(n.b, 0) as b, row_number() over (partition by f.machine, f.h, f.id order by event_index) as k from far f left join n using (h) left join o on o.h = f.h and o.id = f.id
+), q as (select *, id <> '' and k <= a as own from p
+), r as (select *, sum(own::int) over (partition by machine, h) as used, row_number() over (partition by machine, h, id = '', own order by event_index) as k2 from q
+), s as (select *, id = '' and k2 <= w - used as h2, id <> '' and not own and k2 <= b as h3 from r
+), v as (select *, sum(h3::int) over (partition by machine, h) as used3, row_number() over (partition by machine, h, id = '', h2 order by event_index) as k4 from s
+), t as (select *, own or h2 or h3 or (id = '' and not h2 and k4 <= b - used3) as hit from v)"""
+
+
+@query(f"{U}, {HASHED}, {MERGED} select coalesce(machine, 'local') as machine, count(*) as events, sum(event_index)::bigint as places from (select machine, event_index from t where not hit union all select null, event_index from usage where machine is null union all select 'copied', event_index from near) group by all")
 def machine_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of two machines, a part of which also came to this machine: each counts once."""
+    """Rows of two machines, a part of which also came to this machine: without ids, with the same or with others. Rows of equal content are rare here."""
     u = b.usage(spark, d)
-    here = u.where("machine is null")
-    far = u.where("machine is not null")
-    seen = far.where("event_index % 5 = 0")
-    merged = joins.merge_machines(here.unionByName(seen.withColumn("machine", F.lit(None).cast("string"))), far)
-    own = merged.join(far.select("event_index", F.col("machine").alias("of")), "event_index", "left")
-    return own.groupBy(F.coalesce("of", F.lit("local")).alias("machine")).agg(F.count("*").alias("events"), F.sum("total_tokens").alias("total_tokens"))
+    n = F.col("event_index")
+    mid = F.when(n % 4 != 0, F.concat(F.lit("m"), (n % 1000).cast("string")))
+    rid = F.when(n % 6 >= 3, F.concat(F.lit("r"), (n % 7).cast("string")))
+    here, far = u.where("machine is null"), u.where("machine is not null").withColumns({"message_id": mid, "request_id": rid})
+    none = F.lit(None).cast("string")
+    place = n % 15
+    copied = far.where("event_index % 5 = 0").withColumns({"machine": none, "message_id": F.when(place < 5, none).when(place < 10, mid).otherwise("other"), "request_id": F.when((place >= 5) & (place < 10), rid)})
+    merged = joins.merge_machines(here.withColumn("_c", F.lit(False)).unionByName(copied.withColumn("_c", F.lit(True))), far.withColumn("_c", F.lit(False)))
+    label = F.when(F.col("_c"), "copied").otherwise(F.coalesce("machine", F.lit("local")))
+    return merged.groupBy(label.alias("machine")).agg(F.count("*").alias("events"), F.sum("event_index").alias("places"))
 
 
 @query(f"{U} select file, count(*) as events from usage where file in ('f1', 'f2', 'f3') group by file")
@@ -731,3 +740,6 @@ def normalize_timestamp(spark: SparkSession, d: str) -> DataFrame:
     shapes = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")).when(F.col("event_id") % 3 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).otherwise(calendar.epoch_ms(F.col("ts")).cast("string"))
     at = timestamp_of(shapes)
     return e.select("event_id", calendar.epoch_ms(at).alias("ms"), F.date_format(at, "yyyy-MM-dd").alias("day"))
+
+
+from quillmeter import catalogue_more  # noqa: E402, F401  (registers further queries)

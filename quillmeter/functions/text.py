@@ -25,7 +25,7 @@ def blank_to_null(c: Column) -> Column:
 
 def without_control(c: Column) -> Column:
     """Without C0, C1 and bidirectional control characters."""
-    return F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f‎‏‪-‮⁦-⁩]", "")
+    return F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f\x{061C}\x{200E}\x{200F}\x{2028}-\x{202E}\x{2066}-\x{2069}]", "")
 
 
 def model_name(c: Column) -> Column:
@@ -74,12 +74,36 @@ def parent_key(key: Column) -> Column:
     return F.when(bare | ~key.rlike(r"[/\\]"), None).otherwise(parent)
 
 
-def ancestors(key: Column, depth: int = 32) -> Column:
-    """key and the keys above it, nearest first."""
+def is_windows_key(key: Column) -> Column:
+    """Whether a key is a drive's or a network share's path, whichever machine logged it."""
+    return key.rlike(r"^(?:[A-Za-z]:[/\\]|\\\\)")
+
+
+def comparable_key(key: Column) -> Column:
+    """The form in which keys are compared: Windows paths in lower case with one separator, others as they are."""
+    return F.when(is_windows_key(key), F.lower(F.translate(key, "/", "\\"))).otherwise(key)
+
+
+def key_segments(key: Column) -> Column:
+    """The names of a key's path, without the drive."""
+    return F.filter(F.split(F.regexp_replace(key, "^[A-Za-z]:", ""), r"[/\\]"), lambda x: x != "")
+
+
+def moved_below(key: Column, above: Column, target: Column) -> Column:
+    """key, at or below `above`, at the same place below target, with target's separators where the systems differ."""
+    below = F.substring(key, F.char_length(above) + 1, F.char_length(key))
+    apart = is_windows_key(key) != is_windows_key(target)
+    own = F.when(is_windows_key(target), F.translate(below, "/", "\\")).otherwise(F.translate(below, "\\", "/"))
+    return F.concat(target, F.when(apart, own).otherwise(below))
+
+
+def ancestors(key: Column) -> Column:
+    """key and all keys above it, nearest first, with the separators it is written with; a root keeps its own."""
     parts = F.split(key, r"[/\\]")
-    prefix = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    named = F.transform(prefix, lambda p: F.when(p == "", "/").otherwise(p))
-    return F.slice(F.array_distinct(named), 1, depth)
+    upto = lambda n: F.char_length(F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    prefix = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.substring(key, F.lit(1), upto(n)))
+    named = F.transform(prefix, lambda p: F.when(p == "", F.substring(key, 1, 1)).when(p.rlike("^[A-Za-z]:$"), F.substring(key, 1, 3)).otherwise(p))
+    return F.array_distinct(F.filter(named, lambda p: p != ""))
 
 
 def git_remote(url: Column) -> Column:

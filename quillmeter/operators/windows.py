@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmeter.functions.calendar import dense_days, epoch_ms, local
-from quillmeter.functions.numbers import money_sum
+from quillmeter.functions.calendar import day_start_utc, dense_days, epoch_ms, from_ms, in_local_window, local, period_key
+from quillmeter.functions.numbers import median, money_sum
 from quillmeter.operators.totals import totals
 
 IDLE_MS = 5 * 60 * 1000
@@ -27,54 +27,134 @@ def active_time(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).distinct().join(sums, keys, "left").withColumn("active_ms", F.coalesce("active_ms", F.lit(0)).cast("bigint"))
 
 
+#: Every zone's offset is a multiple of this, so no local day or hour begins within a step.
+STEP_MS = 900_000
+
+
+def split_steps(df: DataFrame, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """df with a row for each quarter of an hour that [start, end) meets: the part within it, and `step`."""
+    steps = F.sequence(F.floor(F.col(start) / STEP_MS), F.floor((F.col(end) - 1) / STEP_MS))
+    rows = df.where(F.col(end) > F.col(start)).withColumn("step", F.explode(steps))
+    return rows.withColumns({start: F.greatest(F.col(start), F.col("step") * STEP_MS).cast("bigint"), end: F.least(F.col(end), (F.col("step") + 1) * STEP_MS).cast("bigint")})
+
+
+def step_key(unit: str = "day", tz: str = "UTC"):
+    """The local period of a step."""
+    return period_key(from_ms(F.col("step") * STEP_MS), unit, tz)
+
+
+def union_length(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, step, active_ms): the time that parts(keys, step, start_ms, end_ms) cover, overlaps once."""
+    before = Window.partitionBy(*keys, "step").orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    seen = parts.withColumn("reach", F.max("end_ms").over(before))
+    fresh = F.greatest(F.lit(0), F.col("end_ms") - F.greatest("start_ms", F.coalesce("reach", F.col("start_ms"))))
+    return seen.groupBy(*keys, "step").agg(F.sum(fresh).cast("bigint").alias("active_ms"))
+
+
 def union_active_time(df: DataFrame, session: list[str], tz: str = "UTC") -> DataFrame:
     """(day, active_ms): wall-clock activity by local day, sessions that overlap counted once.
 
-    Gaps are cut at the local day's ends before they merge, so days are groups of their own and
-    no step needs all of time in one task.
+    Gaps are cut at quarters of an hour before they merge, so a quarter is a group of its own and
+    no task needs a day, let alone all of time.
     """
-    gaps = active_gaps(df.withColumn("_t", F.col("ts")), session)
-    to_ts = lambda c: F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast({c} / 1000 as decimal(18, 6)))")
-    ends = gaps.withColumns({"a": local(to_ts("start_ms"), tz), "b": local(to_ts("end_ms"), tz)})
-    days = ends.withColumn("d", F.explode(F.sequence(F.col("a").cast("date"), F.col("b").cast("date"))))
-    cut = days.select(F.date_format("d", "yyyy-MM-dd").alias("day"), F.greatest(epoch_ms(F.col("a")), epoch_ms(F.col("d").cast("timestamp_ntz"))).alias("a"), F.least(epoch_ms(F.col("b")), epoch_ms(F.date_add("d", 1).cast("timestamp_ntz"))).alias("b")).where("b > a")
-    before = Window.partitionBy("day").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    seen = cut.withColumn("reach", F.max("b").over(before))
-    return seen.groupBy("day").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("reach", F.col("a"))))).cast("bigint").alias("active_ms"))
+    steps = union_length(split_steps(active_gaps(df, session)).select("step", "start_ms", "end_ms"), [])
+    return steps.groupBy(step_key("day", tz).alias("day")).agg(F.sum("active_ms").alias("active_ms"))
 
 
-def block_starts(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """usage with block_start_ms: five-hour blocks that begin at the hour of their first event.
+def active_time_by(usage: DataFrame, group, unit: str = "day", tz: str = "UTC") -> DataFrame:
+    """(period, group, active_ms) and, with a null group and `combined`, the union over all groups.
+
+    group is any expression of a row. A session is cut into runs of neighbours in one group; the
+    gap at a switch counts for neither. Every period and group with an event has a row.
+    """
+    rows = usage.select("source", "session_id", "event_index", group.alias("group"), period_key(F.col("ts"), unit, tz).alias("period"), epoch_ms(F.col("ts")).alias("end_ms"))
+    order = Window.partitionBy("source", "session_id").orderBy("end_ms", "event_index")
+    rows = rows.withColumns({"start_ms": F.lag("end_ms").over(order), "_before": F.lag("group").over(order)})
+    gaps = rows.where((F.col("end_ms") > F.col("start_ms")) & (F.col("end_ms") - F.col("start_ms") <= IDLE_MS))
+    parts = split_steps(gaps.select("group", "start_ms", "end_ms", F.col("group").eqNullSafe(F.col("_before")).alias("_same")))
+    one = union_length(parts.where("_same").select("group", "step", "start_ms", "end_ms"), ["group"]).groupBy(step_key(unit, tz).alias("period"), "group").agg(F.sum("active_ms").alias("ms"))
+    whole = union_length(parts.select("step", "start_ms", "end_ms"), []).groupBy(step_key(unit, tz).alias("period")).agg(F.sum("active_ms").alias("ms"))
+    seen = rows.select("period", "group").distinct()
+    same = (F.col("s.period") == F.col("o.period")) & F.col("s.group").eqNullSafe(F.col("o.group"))
+    groups = seen.alias("s").join(one.alias("o"), same, "left").select("s.period", "s.group", F.coalesce("o.ms", F.lit(0)).cast("bigint").alias("active_ms"), F.lit(False).alias("combined"))
+    days = seen.select("period").distinct().join(whole, "period", "left").select("period", F.lit(None).cast(dict(seen.dtypes)["group"]).alias("group"), F.coalesce("ms", F.lit(0)).cast("bigint").alias("active_ms"), F.lit(True).alias("combined"))
+    return groups.unionByName(days)
+
+
+def block_hours(usage: DataFrame, keys: list[str] | None = None, context: DataFrame | None = None, range_start_ms: int | None = None) -> DataFrame:
+    """(keys, hour_ms, block_start_ms, uncertain): the five-hour block that each hour with events lies in.
 
     A gap of five hours or more ends any block, so stretches between such gaps are independent.
-    Within one, the next block starts at the first event five hours after the last start; only
-    distinct hours matter for that, so a fold over a stretch's hours decides, native and parallel
-    over stretches.
+    Within one, the next block starts at the first event five hours after the last start. Starts
+    are whole hours, so all events of an hour share a block, and only hours, with their first and
+    last event, are put in order; a fold over a stretch's hours decides. Rows of context are
+    placed like those of usage, for keys that usage has. A block of the first stretch is
+    uncertain if it may have begun before range_start_ms, the start of what was read.
     """
     keys = keys or ["source"]
-    rows = usage.withColumn("_ms", epoch_ms(F.col("ts")))
-    by_time = Window.partitionBy(*keys).orderBy("_ms")
-    rows = rows.withColumn("_cut", F.when(F.col("_ms") - F.lag("_ms").over(by_time) >= BLOCK_MS, 1).otherwise(0))
-    rows = rows.withColumn("_stretch", F.sum("_cut").over(by_time.rangeBetween(Window.unboundedPreceding, 0)))
-    hour = (F.floor(F.col("_ms") / HOUR_MS) * HOUR_MS).cast("bigint")
-    hours = rows.groupBy(*keys, "_stretch", hour.alias("_hour")).agg(F.lit(1).alias("_one"))
-    lists = hours.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list("_hour")).alias("h"))
+    hour = lambda: (F.floor(epoch_ms(F.col("ts")) / HOUR_MS) * HOUR_MS).cast("bigint").alias("hour_ms")
+    by_hour = lambda df: df.groupBy(*keys, hour()).agg(F.min(epoch_ms(F.col("ts"))).alias("first"), F.max(epoch_ms(F.col("ts"))).alias("last"))
+    hours = by_hour(usage)
+    if context is not None:
+        other = by_hour(context).join(hours.select(*keys).distinct(), keys, "left_semi")
+        hours = hours.unionByName(other).groupBy(*keys, "hour_ms").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    by_time = Window.partitionBy(*keys).orderBy("hour_ms")
+    hours = hours.withColumn("_cut", F.when(F.col("first") - F.lag("last").over(by_time) >= BLOCK_MS, 1).otherwise(0))
+    hours = hours.withColumns({"_stretch": F.sum("_cut").over(by_time.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.min("first").over(Window.partitionBy(*keys))})
+    lists = hours.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list("hour_ms")).alias("h"))
     start = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
 
     def step(acc, x):
         fresh = acc["at"].isNull() | (x >= acc["at"] + BLOCK_MS)
         return F.when(fresh, F.struct(x.alias("at"), F.concat(acc["all"], F.array(x)).alias("all"))).otherwise(acc)
 
-    starts = lists.select(*keys, "_stretch", F.aggregate("h", start, step, lambda a: a["all"]).alias("_starts"))
-    placed = rows.join(starts, [*keys, "_stretch"])
-    own = F.element_at(F.filter("_starts", lambda s: s <= F.col("_ms")), -1)
-    return placed.withColumn("block_start_ms", own).select(*usage.columns, "block_start_ms")
+    starts = lists.select(*keys, F.explode(F.aggregate("h", start, step, lambda a: a["all"])).alias("hour_ms")).withColumn("_start", F.col("hour_ms"))
+    placed = hours.join(starts, [*keys, "hour_ms"], "left")
+    own = F.last("_start", ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+    uncertain = F.lit(False) if range_start_ms is None else (F.col("_stretch") == 0) & (F.col("_first") - range_start_ms < BLOCK_MS)
+    return placed.select(*keys, "hour_ms", own.alias("block_start_ms"), uncertain.alias("uncertain"))
 
 
-def blocks(usage: DataFrame) -> DataFrame:
-    """One row a block: source, start, end, first and last event, count, totals."""
-    found = block_starts(usage).withColumn("_ms", epoch_ms(F.col("ts")))
-    return found.groupBy("source", "block_start_ms").agg((F.first("block_start_ms") + BLOCK_MS).alias("block_end_ms"), F.min("_ms").alias("first_ms"), F.max("_ms").alias("last_ms"), F.count("*").alias("events"), *totals())
+def block_starts(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """usage with block_start_ms: five-hour blocks that begin at the hour of their first event; see block_hours."""
+    keys = keys or ["source"]
+    rows = usage.withColumn("hour_ms", (F.floor(epoch_ms(F.col("ts")) / HOUR_MS) * HOUR_MS).cast("bigint"))
+    return rows.join(block_hours(usage, keys), [*keys, "hour_ms"]).select(*usage.columns, "block_start_ms")
+
+
+def blocks(usage: DataFrame, context: DataFrame | None = None, since_ms: int | None = None, range_start_ms: int | None = None) -> DataFrame:
+    """One row a block: source, start, end, first and last event, count, totals.
+
+    With context or a range (see block_hours), also start_uncertain; blocks that end by since_ms
+    are left out, and so are those that only context has events in.
+    """
+    rows = usage.withColumns({"_ms": epoch_ms(F.col("ts")), "hour_ms": (F.floor(epoch_ms(F.col("ts")) / HOUR_MS) * HOUR_MS).cast("bigint")})
+    found = rows.join(block_hours(usage, ["source"], context, range_start_ms), ["source", "hour_ms"])
+    more = [F.bool_or("uncertain").alias("start_uncertain")] if context is not None or range_start_ms is not None else []
+    out = found.groupBy("source", "block_start_ms").agg((F.first("block_start_ms") + BLOCK_MS).alias("block_end_ms"), F.min("_ms").alias("first_ms"), F.max("_ms").alias("last_ms"), F.count("*").alias("events"), *more, *totals())
+    return out if since_ms is None else out.where(F.col("block_end_ms") > since_ms)
+
+
+def recent_blocks(found: DataFrame, count: int = 20) -> DataFrame:
+    """The `count` latest blocks in time order."""
+    return found.orderBy(F.col("block_start_ms").desc(), F.col("source").desc()).limit(count).orderBy("block_start_ms", "source")
+
+
+def chain_start(usage: DataFrame, since_ms: int) -> DataFrame:
+    """(source, chain_ms): the last event at or before since_ms that follows a gap of five hours; the first event without one."""
+    by_time = Window.partitionBy("source").orderBy("hour_ms")
+    hours = usage.groupBy("source", (F.floor(epoch_ms(F.col("ts")) / HOUR_MS) * HOUR_MS).cast("bigint").alias("hour_ms")).agg(F.min(epoch_ms(F.col("ts"))).alias("first"), F.max(epoch_ms(F.col("ts"))).alias("last"))
+    hours = hours.withColumn("_gap", F.col("first") - F.lag("last").over(by_time))
+    after = F.max(F.when((F.col("_gap") >= BLOCK_MS) & (F.col("first") <= since_ms), F.col("first")))
+    return hours.groupBy("source").agg(F.coalesce(after, F.min("first")).alias("chain_ms"))
+
+
+def events_in_blocks(usage: DataFrame, shown: DataFrame) -> DataFrame:
+    """usage rows that lie in one of the blocks shown(source, block_start_ms)."""
+    hours = F.sequence(F.lit(0), F.lit(BLOCK_MS // HOUR_MS - 1))
+    held = shown.select("source", F.explode(F.transform(hours, lambda i: (F.col("block_start_ms") + i * HOUR_MS).cast("bigint"))).alias("hour_ms")).distinct()
+    rows = usage.withColumn("hour_ms", (F.floor(epoch_ms(F.col("ts")) / HOUR_MS) * HOUR_MS).cast("bigint"))
+    return rows.join(held, ["source", "hour_ms"], "left_semi").select(*usage.columns)
 
 
 def ranked_blocks(found: DataFrame, count: int) -> DataFrame:
@@ -86,10 +166,11 @@ def ranked_blocks(found: DataFrame, count: int) -> DataFrame:
 
 
 def burn_rate(found: DataFrame, now_ms: int) -> DataFrame:
-    """Tokens an hour since the start of blocks that are active now, of a minute at least."""
+    """Blocks that are active now, with the minutes they have left, and tokens and cost an hour since their start, of a minute at least."""
     active = found.where((F.col("block_start_ms") <= now_ms) & (F.col("block_end_ms") > now_ms))
     hours = F.greatest(F.lit(now_ms) - F.col("block_start_ms"), F.lit(60_000)) / HOUR_MS
-    return active.withColumn("tokens_per_hour", F.col("total_tokens") / hours)
+    left = F.ceil((F.col("block_end_ms") - now_ms) / 60_000).cast("bigint")
+    return active.withColumns({"remaining_minutes": left, "tokens_per_hour": F.round(F.col("total_tokens") / hours).cast("bigint"), "cost_usd_per_hour": F.round(F.col("cost_usd") / hours, 12)})
 
 
 def streaks(days: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -118,17 +199,17 @@ def daily(usage: DataFrame, tz: str = "UTC", keys: list[str] | None = None) -> D
     return usage.groupBy(*(keys or []), day).agg(*totals())
 
 
-def spend_spikes(usage: DataFrame, tz: str = "UTC", least: float = 1.0, times: float = 3.0, active: int = 3, span: int = 28) -> DataFrame:
-    """(day, cost_usd, median_usd): days that cost `least` or more and `times` the median of the active days before."""
-    costs = daily(usage, tz).select("day", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"))
+def spend_spikes(usage: DataFrame, tz: str = "UTC", least: float = 1.0, times: float = 3.0, active: int = 3, span: int = 28, since: str | None = None, until: str | None = None) -> DataFrame:
+    """(day, cost_usd, median_usd): days that cost `least` or more and `times` the median of the active days before.
+
+    Of the `span` days before, those with cost are active; there have to be `active` of them.
+    Dates given bound the days that are read.
+    """
+    costs = daily(usage.where(in_local_window(F.col("ts"), since, until, tz)), tz).select("day", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"))
     dense = dense_days(costs).join(costs, "day", "left").fillna(0.0, ["cost_usd"])
     frame = Window.orderBy("day").rowsBetween(-span, -1)
-    before = F.array_sort(F.filter(F.collect_list("cost_usd").over(frame), lambda c: c > 0))
-    at = lambda c, i: F.element_at(c, i.cast("int"))
-    n = F.size("_b")
-    median = F.when(n % 2 == 1, at(F.col("_b"), F.floor(n / 2) + 1)).when(n > 0, (at(F.col("_b"), n / 2) + at(F.col("_b"), n / 2 + 1)) / 2)
-    found = dense.withColumn("_b", before).withColumn("median_usd", median)
-    return found.where((F.col("cost_usd") >= least) & (n >= active) & (F.col("cost_usd") >= times * F.col("median_usd"))).select("day", "cost_usd", "median_usd")
+    found = dense.withColumn("_b", F.filter(F.collect_list("cost_usd").over(frame), lambda c: c > 0)).withColumn("median_usd", median(F.col("_b")))
+    return found.where((F.col("cost_usd") >= least) & (F.size("_b") >= active) & (F.col("cost_usd") >= times * F.col("median_usd"))).select("day", "cost_usd", "median_usd")
 
 
 def activity_levels(usage: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -156,10 +237,17 @@ def running_cost(usage: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return usage.withColumns({"running_usd": F.sum(F.col("cost_usd").cast("decimal(38,12)")).over(so_far).cast("double"), "running_incomplete": F.bool_or(F.col("cost_usd").isNull()).over(so_far)})
 
 
-def month_end_projection(usage: DataFrame, now: str, least_days: float = 3.0) -> DataFrame:
-    """(month, cost_usd, projected_usd): the month's cost so far over its elapsed days times its days."""
+def month_end_projection(usage: DataFrame, now: str, least_days: float = 3.0, tz: str = "UTC") -> DataFrame:
+    """(month, cost_usd, projected_usd): the local month's cost so far over its elapsed days times its days.
+
+    The part of today that has passed is measured on that day's own length, 23 to 25 hours where
+    the clock changes.
+    """
     at = F.lit(now).cast("timestamp_ntz")
-    start = F.date_trunc("month", at).cast("timestamp_ntz")
+    here = local(at, tz)
+    first = F.date_trunc("month", here).cast("date")
+    today = here.cast("date")
+    start, midnight, tomorrow = (day_start_utc(d, tz) for d in (first, today, F.date_add(today, 1)))
     spent = usage.where((F.col("ts") >= start) & (F.col("ts") <= at)).agg(money_sum(F.col("cost_usd")).alias("cost_usd"))
-    elapsed = (epoch_ms(at) - epoch_ms(start)) / F.lit(24 * HOUR_MS)
-    return spent.select(F.date_format(at, "yyyy-MM").alias("month"), "cost_usd", F.when(elapsed >= least_days, F.col("cost_usd") / elapsed * F.day(F.last_day(at))).alias("projected_usd"))
+    elapsed = F.datediff(today, first) + (epoch_ms(at) - epoch_ms(midnight)) / (epoch_ms(tomorrow) - epoch_ms(midnight))
+    return spent.select(F.date_format(here, "yyyy-MM").alias("month"), "cost_usd", F.when(elapsed >= least_days, F.col("cost_usd") / elapsed * F.day(F.last_day(here))).alias("projected_usd"))

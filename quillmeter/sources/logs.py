@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmeter.functions import numbers
+from quillmeter.sources.codex import codex
 from quillmeter.sources.raw import count, documents, first_time, get, items, lines, session_of, timestamp_of, usage_rows, word
 
 
@@ -31,7 +32,8 @@ def _prompt(total: Column, cached: Column) -> Column:
 def claude(spark: SparkSession, path: str) -> DataFrame:
     """Assistant rows with usage; of rows with the same message and request in a file the last counts.
 
-    Rows of a fork's transcript that its parent has as well are the parent's.
+    A subagent's transcript is a fork where the .meta.json beside it says so; the parent is the
+    agent named there or the main session. Rows that its parent has as well are the parent's.
     """
     raw = lines(spark, path, "*.jsonl", ["usage"]).where(get("j", "$.type") == "assistant").where(F.try_variant_get("j", "$.message.usage", "variant").isNotNull())
     model = word("j", "$.message.model")
@@ -39,12 +41,12 @@ def claude(spark: SparkSession, path: str) -> DataFrame:
     key = F.coalesce(F.when(word("j", "$.message.id").isNotNull(), F.concat_ws("\x00", word("j", "$.message.id"), word("j", "$.requestId"))), word("j", "$.uuid"), F.concat_ws("\x00", get("j", "$.timestamp"), model))
     raw = raw.withColumn("_key", key).withColumn("_last", F.row_number().over(Window.partitionBy("file", "_key").orderBy(F.col("line").desc()))).where("_last = 1")
     raw = _numbered(raw)
-    # <parent>/subagents/agent-x.jsonl of a session beside <parent>.jsonl
-    parent = F.regexp_replace("file", r"/subagents/agent-[^/]+\.jsonl$", ".jsonl")
-    fork = F.col("file").rlike(r"/subagents/agent-[^/]+\.jsonl$")
-    own = raw.where(fork).withColumn("_parent", parent)
-    mains = raw.where(~fork).select(F.col("file").alias("_parent"), "_key")
-    raw = raw.where(~fork).unionByName(own.join(mains, ["_parent", "_key"], "left_anti").select(*raw.columns))
+    told = documents(spark, path, "agent-*.meta.json").where(F.try_variant_get("j", "$.isFork", "boolean"))
+    folder, agent = F.regexp_replace("file", "/[^/]+$", ""), word("j", "$.parentAgentId")
+    parent = F.when(agent.isNull(), F.concat(F.regexp_replace(folder, "/[^/]+$", ""), F.lit(".jsonl"))).otherwise(F.concat(folder, F.lit("/agent-"), agent, F.lit(".jsonl")))
+    forks = told.select(F.regexp_replace("file", r"\.meta\.json$", ".jsonl").alias("file"), parent.alias("_parent")).dropDuplicates(["file"])
+    theirs = raw.select(F.col("file").alias("_parent"), "_key")
+    raw = raw.join(forks, "file", "left").join(theirs, ["_parent", "_key"], "left_anti")
     u = "$.message.usage."
     output = count("j", u + "output_tokens")
     parts = {"input_tokens": count("j", u + "input_tokens"), "output_tokens": output, "reasoning_tokens": F.least(output, count("j", u + "output_tokens_details.thinking_tokens")), "cache_read_tokens": count("j", u + "cache_read_input_tokens"), "cache_write_tokens": count("j", u + "cache_creation_input_tokens"), "cache_write_1h_tokens": count("j", u + "cache_creation.ephemeral_1h_input_tokens")}
@@ -84,21 +86,34 @@ def droid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pi(spark: SparkSession, path: str) -> DataFrame:
-    """Messages with usage; session, model and provider carry on from earlier lines. What a fork copied, older than itself, is its parent's."""
+    """Messages with usage; session, model and provider carry on from earlier lines.
+
+    What a fork copied, older than itself, is its parent's: it is left out where the parent's log
+    is in the scan, else it counts under the parent's session, which the log's name tells.
+    """
     raw = lines(spark, path, "*.jsonl")
     kind = get("j", "$.type")
     head = lambda p: F.when(kind == "session", word("j", p))
     rows = raw.withColumns({"_session": _carried(head("$.id")), "_cwd": _carried(head("$.cwd")), "_parent": _carried(head("$.parentSession")), "_born": _carried(F.when(kind == "session", get("j", "$.timestamp"))), "_model": _carried(F.coalesce(F.when(kind == "model_change", word("j", "$.modelId")), word("j", "$.model", "$.message.model"))), "_provider": _carried(F.coalesce(F.when(kind == "model_change", word("j", "$.provider")), word("j", "$.provider", "$.message.provider")))})
     rows = _numbered(rows.where((kind == "message") & F.coalesce(F.try_variant_get("j", "$.usage", "variant"), F.try_variant_get("j", "$.message.usage", "variant")).isNotNull()))
-    here = F.col("_parent").isNull() | timestamp_of(get("j", "$.timestamp")).isNull() | (timestamp_of(get("j", "$.timestamp")) >= timestamp_of(F.col("_born")))
-    rows = rows.where(here)
+    born, at_ = timestamp_of(F.col("_born")), timestamp_of(get("j", "$.timestamp"))
+    copied = F.coalesce(F.col("_parent").isNotNull() & (at_ < born), F.lit(False))
+    # a parent is named by its path, absolute or from the fork's folder
+    name = F.element_at(F.split("_parent", "/"), -1)
+    there = raw.select(F.element_at(F.split("file", "/"), -1).alias("_name"), F.col("file").alias("_there")).distinct()
+    above = F.when(F.col("_parent").startswith("/"), F.col("_there").endswith(F.col("_parent"))).otherwise(F.col("_there") == F.concat(F.regexp_replace("file", "/[^/]+$", "/"), F.regexp_replace("_parent", r"^(\./)+", "")))
+    rows = rows.withColumns({"_copied": copied, "_name": F.when(copied, name)})
+    rows = rows.join(there, (rows._name == there._name) & above, "left_anti")
+    stem = F.regexp_extract("_parent", r"_([^/_]+)\.jsonl$", 1)
+    rows = rows.withColumn("_session", F.when(F.col("_copied") & (stem != ""), stem).otherwise(F.col("_session")))
     at = lambda n: ("$.usage." + n, "$.message.usage." + n)
-    return usage_rows(rows, "pi", session_id=F.coalesce("_session", session_of(F.col("file"))), ts=first_time("j", "$.timestamp", "$.message.timestamp"), repo_root=F.col("_cwd"), provider=F.col("_provider"), model=F.col("_model"), input_tokens=count("j", *at("input")), output_tokens=count("j", *at("output")), cache_read_tokens=count("j", *at("cacheRead")), cache_write_tokens=count("j", *at("cacheWrite")), total_tokens=count("j", *at("totalTokens")), cost_usd=numbers.usd(get("j", *at("cost.total"))), event_index=F.col("line"))
+    return usage_rows(rows, "pi", session_id=F.coalesce("_session", session_of(F.col("file"))), ts=first_time("j", "$.timestamp", "$.message.timestamp"), repo_root=F.col("_cwd"), provider=F.col("_provider"), model=F.col("_model"), input_tokens=count("j", *at("input")), output_tokens=count("j", *at("output")), reasoning_tokens=count("j", *at("reasoning"), *at("reasoningTokens"), *at("reasoningOutput"), *at("outputReasoning")), cache_read_tokens=count("j", *at("cacheRead")), cache_write_tokens=count("j", *at("cacheWrite")), total_tokens=count("j", *at("totalTokens")), cost_usd=numbers.usd(get("j", *at("cost.total"))), event_index=F.col("line"))
 
 
 def openclaw(spark: SparkSession, path: str) -> DataFrame:
     """Messages under many spellings of their fields; copies that only mirror a delivery are left out."""
     raw = lines(spark, path, "*.jsonl")
+    # The spellings below are those that the logs use.
     both = lambda *names: [f"{p}.{n}" for n in names for p in ("$", "$.message")]
     provider, model = word("j", *both("provider", "modelProvider", "model_provider")), word("j", *both("model", "modelId", "model_id"))
     is_session = get("j", "$.type") == "session"
@@ -158,7 +173,7 @@ def amp(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Fixed value: the instant from which files without a model mean the newer one.
-KIMI_CUTOFF, KIMI_OLD, KIMI_NEW = "2026-04-20 00:00:00", "kimi-k2.5", "kimi-k2.6"
+KIMI_CUTOFF, KIMI_OLD, KIMI_NEW = "2026-04-20 15:28:10.072", "kimi-k2.5", "kimi-k2.6"
 
 
 def kimi(spark: SparkSession, path: str) -> DataFrame:
@@ -200,47 +215,6 @@ def dsh(spark: SparkSession, path: str) -> DataFrame:
     return usage_rows(rows, "dsh", session_id=F.coalesce("_session", session_of(F.col("file"))), ts=first_time("j", "$.time"), repo_root=F.col("_cwd"), provider=F.col("_provider"), model=F.col("_model"), input_tokens=count("j", u + "inputTokens"), output_tokens=count("j", u + "outputTokens"), reasoning_tokens=count("j", u + "reasoningTokens"), cache_read_tokens=cached, cache_write_tokens=count("j", u + "cacheWriteTokens"), total_tokens=count("j", u + "totalTokens"), event_index=F.col("line"))
 
 
-CODEX = ["input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens"]
-
-
-def codex(spark: SparkSession, path: str) -> DataFrame:
-    """Growing totals as differences of neighbours; totals that fall back mean that the last request counts alone.
-
-    An unchanged total adds nothing. Lines with only the last request's usage count it, but not
-    again if the line before said the same. Per-response records replace the differences of their
-    response where a session has any. Model and directory carry on from turn_context lines.
-    """
-    raw = lines(spark, path, "*.jsonl*", ["token_count", "session_meta", "turn_context", "token_usage_record"])
-    kind, event = get("j", "$.type"), get("j", "$.payload.type")
-    rows = raw.withColumns({"_session": _carried(F.when(kind == "session_meta", word("j", "$.payload.id"))), "_provider": _carried(F.when(kind == "session_meta", word("j", "$.payload.model_provider"))), "_cwd": _carried(F.when(kind.isin("session_meta", "turn_context"), word("j", "$.payload.cwd"))), "_model": _carried(F.when(kind == "turn_context", word("j", "$.payload.model")))})
-    record = event == "token_usage_record"
-    some = F.max((kind.eqNullSafe("token_usage_record") | record.eqNullSafe(True)).cast("int")).over(Window.partitionBy("file"))
-    rows = rows.withColumn("_records", some)
-    has = lambda p: F.try_variant_get("j", p, "variant").isNotNull()
-    total, last = "$.payload.info.total_token_usage", "$.payload.info.last_token_usage"
-    counted = _numbered(rows.where((event == "token_count") & (has(total) | has(last)) & (F.col("_records") == 0)))
-    read = lambda p: F.struct(*[count("j", f"{p}.{n}").alias(n) for n in CODEX])
-    counted = counted.withColumns({"_t": F.when(has(total), read(total)), "_l": F.when(has(last), read(last))})
-    order = Window.partitionBy("file").orderBy("line")
-    before = F.last("_t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    counted = counted.withColumns({"_b": before, "_pl": F.lag("_l").over(order), "_pt": F.lag("_t").over(order)})
-    fell = F.lit(False)
-    for n in CODEX:
-        fell = fell | (F.col(f"_t.{n}") < F.col(f"_b.{n}"))
-    delta = F.struct(*[(F.col(f"_t.{n}") - F.coalesce(F.col(f"_b.{n}"), F.lit(0))).alias(n) for n in CODEX])
-    again = F.col("_t").isNull() & F.col("_pt").isNull() & (F.col("_l") == F.col("_pl"))
-    used = F.when(again, None).when(F.col("_t").isNull(), F.col("_l")).when(F.col("_t") == F.col("_b"), None).when(fell, F.col("_l")).otherwise(delta)
-    counted = counted.withColumn("u", used).where("u is not null").withColumn("_single", F.coalesce(F.col("u") == F.col("_l"), F.lit(False)))
-    direct = rows.where(kind.eqNullSafe("token_usage_record") | record.eqNullSafe(True))
-    direct = _numbered(direct).withColumns({"u": read("$.payload.usage"), "_single": F.lit(True)})
-
-    def out(df: DataFrame) -> DataFrame:
-        cached = F.col("u.cached_input_tokens")
-        return usage_rows(df, "codex", session_id=F.coalesce("_session", session_of(F.col("file"))), ts=first_time("j", "$.timestamp"), repo_root=F.col("_cwd"), provider=F.col("_provider"), model=F.col("_model"), input_tokens=_prompt(F.col("u.input_tokens"), cached), output_tokens=F.col("u.output_tokens"), reasoning_tokens=F.col("u.reasoning_output_tokens"), cache_read_tokens=F.least(cached, F.col("u.input_tokens")), cache_write_tokens=F.col("u.cache_write_input_tokens"), single_request=F.when(F.col("_single"), True), request_id=word("j", "$.payload.response_id"), event_index=F.col("line"))
-
-    return out(counted).unionByName(out(direct))
-
-
 def claude_tool_calls(spark: SparkSession, path: str) -> DataFrame:
     """(source, session_id, ts, call_id, name, status, completed_at, duration_ms, file, event_index) of tool_use blocks and their results."""
     from quillmeter.operators.joins import pair_calls

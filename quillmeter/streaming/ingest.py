@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmeter.operators.dedupe import content_hash
-from quillmeter.sources.sinks import write_ledger
+from quillmeter.sources.sinks import upsert_ledger
 
 
 def usage_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -33,8 +33,11 @@ def active_sessions(stream: DataFrame, gap: str = "5 minutes") -> DataFrame:
 
 
 def to_ledger(stream: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Each batch replaces the files it holds in the ledger: a changed file is read again as a whole, so a replay changes nothing."""
-    return stream.writeStream.foreachBatch(lambda rows, _: write_ledger(rows, ledger)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Each batch adds its rows to the ledger; a row replaces the one stored for its place in its file.
+
+    So a file whose rows come in several batches keeps them all, and a replayed batch changes nothing.
+    """
+    return stream.writeStream.foreachBatch(lambda rows, _: upsert_ledger(rows, ledger)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

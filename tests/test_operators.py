@@ -136,7 +136,7 @@ def test_sqlite_sources(spark, tmp_path):
     db.execute("insert into message values ('a', 's', 1767225600000, ?)", (data,))
     db.executemany("insert into session_message values (?, 's', 'assistant', 1, 1767225600000, ?)", [("a", data), ("b", data)])
     db.commit()
-    assert events(sqlite.opencode(spark, str(tmp_path / "o")), "message_id", "total_tokens") == [("a", 4), ("b", 4)]
+    assert events(sqlite.opencode(spark, str(tmp_path / "o")), "message_id", "total_tokens") == [("a", 3), ("b", 4)]
     inner = bytes([2 << 3, 7, 3 << 3, 9, 11 << 3 | 2, 2]) + b"r1"
     assert sqlite.usage_of(bytes([1 << 3 | 2, len(inner)]) + inner) == {"input": 7, "output": 9, "response": "r1"}
 

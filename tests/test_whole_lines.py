@@ -34,11 +34,11 @@ def tables(tmp_path_factory):
 
 
 def test_whole_lines_have_their_gaps_and_spikes(spark, tables):
-    rows = {name: [tuple(r) for r in catalogue.queries()[name](spark, tables).orderBy("day").collect()] for name in ("spend_spikes_whole", "activity_levels_whole", "trends_dense_whole")}
-    assert rows["spend_spikes_whole"] == [("1996-01-20", 900.0, 108.0)]
-    levels = {day: (tokens, level) for day, tokens, level in rows["activity_levels_whole"]}
+    rows = {name: [tuple(r) for r in catalogue.queries()[name](spark, tables).orderBy("day").collect()] for name in ("spend_spikes", "activity_levels", "trends_dense")}
+    assert rows["spend_spikes"] == [("1996-01-20", 900.0, 108.0)]
+    levels = {day: (tokens, level) for day, tokens, level in rows["activity_levels"]}
     assert len(levels) == 21 and levels["1996-01-06"] == (0, 0) and levels["1996-01-20"] == (150, 4) and levels["1996-01-01"] == (33, 1)
-    seen = {r[0]: r[1:] for r in rows["trends_dense_whole"]}
+    seen = {r[0]: r[1:] for r in rows["trends_dense"]}
     assert sum(r[3] for r in seen.values()) == len(LINES) and seen["1996-01-06"] == (0, 0.0, False, False) and seen["1996-01-20"] == (150, 900.0, False, True)
 
 
@@ -47,5 +47,5 @@ def test_sql_of_whole_lines_has_no_filter(tables):
     for t in ("region", "nation", "customer", "orders", "part", "lineitem"):
         c.execute(f"create view {t} as select * from '{tables}/{t}.parquet'")
     for name in ("spend_spikes", "activity_levels", "trends_dense"):
-        assert "% 9" not in catalogue.oracle_sql()[f"{name}_whole"]
-    assert c.execute(catalogue.oracle_sql()["spend_spikes_whole"]).fetchall() == [("1996-01-20", 900.0, 108.0)]
+        assert "% 9" not in catalogue.oracle_sql()[name]
+    assert c.execute(catalogue.oracle_sql()["spend_spikes"]).fetchall() == [("1996-01-20", 900.0, 108.0)]
