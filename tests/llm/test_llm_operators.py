@@ -33,7 +33,7 @@ def prose(rnd, n):
 
 def test_plan_keeps_every_capacity_and_places_all():
     rnd = random.Random(1)
-    for capacity in (packing.Capacity(), packing.Capacity(64, 5, 2500)):
+    for capacity in (packing.Capacity(), packing.Capacity(64, 5, 20, 16), packing.Capacity(documents=40), packing.Capacity(attention=30)):
         counts = {}
         for _ in range(800):
             n = rnd.randrange(1, 51)
@@ -49,15 +49,29 @@ def test_plan_keeps_every_capacity_and_places_all():
             for items in bins.values():
                 items.sort()
                 assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))]
-                assert sum(n for _, n in items) <= capacity.tokens and len(items) <= capacity.documents and sum(n * n for _, n in items) <= capacity.attention
+                assert sum(n for _, n in items) <= capacity.tokens and len(items) <= capacity.documents and sum(-(-n // capacity.tile) ** 2 for _, n in items) <= capacity.attention
+
+
+def test_every_capacity_binds():
+    counts = {1: 5000, 20: 600, 300: 40, 2048: 3}
+    bins = lambda **how: max(b + (last - first - 1) // each for _, first, last, each, b, _ in packing.plan_packing(counts, packing.Capacity(**how))) + 1
+    loose = bins(documents=10**6, attention=10**6)
+    assert bins(documents=128, attention=10**6) > loose and bins(documents=10**6, attention=256) > loose
+
+
+def plain_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing_covers_whole_texts_gaplessly(spark):
-    docs = docs_of(spark, [*ODD, "token " * 9000])
+    texts = [*ODD, "token " * 9000, "a<|endoftext|>b", "<|endoftext|>", "é<|endoftext|> <|endoftext"]
+    docs = docs_of(spark, texts)
     rows = [r.asDict() for r in packing.pack_documents(docs).collect()]
-    encode = packing.public_tokenizer().whole
-    for i, t in enumerate([*ODD, "token " * 9000]):
-        ids = np.array([*encode.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+    for i, t in enumerate(texts):
+        ids = np.array([*plain_ids(t), 0], "<u4")
         mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
         assert [r["piece"] for r in mine] == list(range(len(mine))) and sum(r["length"] for r in mine) == len(ids)
         for r in mine:
@@ -100,8 +114,20 @@ def test_media_round_trip_and_damage():
     flipped[at + 8] ^= 1
     assert media.read_mpeg(bytes(flipped))["crc_bad"] == 1
     assert media.read_mpeg(None)["seconds"] == 0 and media.read_mpeg(b"\xff" * 50)["offsets"] == []
-    tagged = stream + b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
-    assert media.read_mpeg(tagged)["tags"]["TIT2"] == "Title" and media.read_mpeg(tagged)["skipped"] == 0
+    tag = b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
+    tagged = media.read_mpeg(stream + tag)
+    assert tagged["tags"]["TIT2"] == "Title" and tagged["skipped"] == 0 and tagged["offsets"] == clean["offsets"]
+    noisy = media.read_mpeg(stream + b"noise" + tag)
+    assert noisy["tags"]["TIT2"] == "Title" and noisy["skipped"] == 5
+
+
+def test_marks_of_formats_in_payloads_lose_nothing():
+    for mark in (b"TAG", b"ID3", b"Xing", b"VBRI", b"\xff\xfa\x18\xc0", b"\xff"):
+        for size in (64, 128, 192, 1408, 1472):
+            for at in {*range(0, 64), *range(size - 140, size)} & {*range(size)}:
+                payload = (b"x" * at + mark).ljust(size, b"y")[:size]
+                stream = media.write_mpeg(payload)
+                assert media.stored_payload(stream, media.read_mpeg(stream)) == payload, (mark, size, at)
 
 
 def test_media_query(spark):
@@ -113,6 +139,36 @@ def test_media_query(spark):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     assert rows[4]["media_sha256"] == rows[6]["media_sha256"]
+    for r in rows.values():
+        assert len(r["seek"]) == r["frames"] and (r["seconds_num"], r["seconds_den"]) == ((x := Fraction(1152 * r["frames"], 32000)).numerator, x.denominator)
+
+
+def test_registered_queries_keep_their_contracts(spark, tmp_path):
+    """op2, op1 and op6 as registered, over tables of odd rows, against plain Python."""
+    texts = [*ODD, "x" * 29 + "TAG" + "y" * 60, "a<|endoftext|>b"]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.op2_mpeg_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        whole = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (rows[i]["n_bytes"], rows[i]["payload_bytes"], rows[i]["payload_sha256"], rows[i]["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        assert rows[i]["media_bytes"] == len(media.write_mpeg(whole)) and f"frames={rows[i]['frames']};" in rows[i]["feature"] and rows[i]["seek"][-1] < rows[i]["media_bytes"]
+    pieces = queries.op1_best_fit_packing(spark, str(tmp_path)).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*plain_ids(t), 0], "<u4")
+        mine = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [r["ids_crc32"] for r in mine] == [zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine] and sum(r["length"] for r in mine) == len(ids)
+    html = ["<p>a</p>", None, "", "<p>a</p>", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n", "", "é" * 4000]
+    spark.createDataFrame([(9 - i, f"http://h.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in queries.op6_warc_transactions(spark, str(tmp_path)).collect()}
+    payloads = {9 - i: (h or "").encode() for i, h in enumerate(html)}
+    for page, payload in payloads.items():
+        first = min(p for p, x in payloads.items() if x == payload)
+        r = got[page]
+        import base64
+
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if page == first else ("revisit", first))
 
 
 # vectors
@@ -203,6 +259,31 @@ def test_weak_credentials_need_their_complement(spark):
     assert rows[1] == rows[2] == rows[3] == ""
 
 
+def brute_linked(text, reach=200):
+    found = []
+    for kind, pattern in (("weak_id", secrets.WEAK_ID), ("access", secrets.ACCESS), ("weak_secret", secrets.WEAK_SECRET), ("hex", secrets.HEX), ("endpoint", secrets.ENDPOINT)):
+        for m in re.finditer(pattern, text):
+            if kind != "weak_secret" or (re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and not re.match("A[KS]IA[A-Z0-9]+$", m[0])):
+                found.append((kind, m.start(), m.end()))
+    role = {"weak_id": "i", "access": "i", "weak_secret": "s", "hex": "s", "endpoint": "e"}
+    near = lambda x, r: any(role[k] == r and a <= x[2] + reach and x[1] <= b + reach and (x[2] <= a or b <= x[1]) for k, a, b in found)
+    out = [x for x in found if (x[0] == "weak_id" and near(x, "s")) or (x[0] == "weak_secret" and near(x, "i")) or (x[0] == "endpoint" and near(x, "s") and near(x, "i"))]
+    return {f"{k}:{a}:{b}" for k, a, b in out}
+
+
+def test_linking_matches_brute_force(spark):
+    rnd = random.Random(15)
+    parts = ["client_id: alpha-77", "AKIA" + "B2" * 8, "Zk3vQ9xLm2Rt8WyB", "Aa1" * 60, "0123456789abcdef" * 2, "https://api.example.com/v1", "jdbc:postgresql://db/x", "user_name = bob42", "plain words here", "x " * 90, "y " * 30, "é\U0001f600 "]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 9))) for _ in range(250)]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(docs_of(spark, texts)).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        got = {x for x in rows[i].split(",") if x.split(":")[0] in ("weak_id", "weak_secret", "endpoint")}
+        assert got == brute_linked(t), t
+        some += len(got)
+    assert some > 100
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     known = [f"please contact staff{i}@mail.example for help" for i in range(30)]
     unseen = [f"please contact EMP-{7000 + i} for help" for i in range(3)]
@@ -211,6 +292,53 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert rows[30]["spans"] == "context:15:23" and rows[30]["n_email"] == 0 and rows[40]["spans"] == ""
 
 
+def test_contexts_to_the_right_and_with_a_gap(spark):
+    known = [f"{w} staff{i}@mail.example wrote this note" for i, w in enumerate("a b c d e f g h i j k l m n o p q r s t u v w x y z".split())]
+    gapped = [f"{i} x{i}y dear staff{i}@mail.example, thanks {i}" for i in range(30)]
+    unseen = ["so EMP-7001 wrote this note", "q dear EMP-7002, thanks so", "dear EMP-7003."]
+    rows = {r["doc_id"]: r for r in pii.pii_digests(docs_of(spark, [*known, *gapped, *unseen])).collect()}
+    n = len(known) + len(gapped)
+    assert rows[n]["spans"] == "context:3:11" and rows[n + 1]["spans"] == "context:7:15" and rows[n + 2]["spans"] == ""
+
+
+def brute_bootstrap(edges, rounds, support, trust):
+    """Patterns and values as dictionaries; edges has (pattern, value, seed)."""
+    seed = {}
+    for p, v, s in edges:
+        seed[p, v] = seed.get((p, v), False) or s
+    score = {}
+    for (_, v), s in seed.items():
+        score[v] = max(score.get(v, 0.0), float(s))
+    weight = {}
+    for _ in range(rounds):
+        held = {}
+        for p, v in seed:
+            held.setdefault(p, []).append(score[v])
+        weight = {p: sum(x) / (len(x) + 1) for p, x in held.items() if sum(y > 0 for y in x) >= support}
+        fresh = {}
+        for (p, v), s in seed.items():
+            if p in weight:
+                was = fresh.get(v, (False, 1.0))
+                fresh[v] = (was[0] or s, was[1] * (1 - min(weight[p], 0.999)))
+        for v, (s, doubt) in fresh.items():
+            score[v] = max(score[v], 1.0 if s else 1 - doubt)
+    return {(p, v) for (p, v), s in seed.items() if not s and weight.get(p, 0) >= trust and score[v] >= trust}
+
+
+def test_bootstrap_matches_brute_force(spark):
+    rnd = random.Random(14)
+    edges = []
+    for _ in range(900):
+        p = rnd.randrange(25)
+        good = rnd.random() < (0.97 if p < 8 else 0.5 if p < 14 else 0.05)
+        edges.append((f"p{p} _", f"s{rnd.randrange(120)}" if good else f"t{rnd.randrange(200)}", good))
+    df = spark.createDataFrame(edges, "pattern string, value string, seed boolean")
+    for rounds, support, trust in ((1, 5, 0.8), (3, 5, 0.8), (2, 3, 0.6)):
+        got = {(r["pattern"], r["value"]) for r in pii.bootstrap(df, rounds, support, trust).collect()}
+        assert got == brute_bootstrap(edges, rounds, support, trust)
+    assert got
+
+
 def test_redaction_leaves_nothing_behind(spark):
     texts = ["mail a@b.c or 10.0.0.1!", None, "", "clean text", "é +1 (555) 123-4567 \U0001f600"]
     rows = {r["doc_id"]: r["text"] for r in pii.redact(docs_of(spark, texts)).collect()}
@@ -246,6 +374,29 @@ def test_toxicity_on_held_out_labels(spark):
     assert right > 0.92 and recall > 0.45 and clean > 0.98
 
 
+def test_scores_are_those_of_compressed_windows(spark):
+    """Scores of a few texts from the model's bytes by zstandard alone."""
+    import pickle
+
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, toxicity.learnable(labels))
+    m = pickle.loads(model)
+    assert m["toxic"] and m["ordinary"] and m["ordinary"][-8:] != m["toxic"][-8:]
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(6).collect()] + ["", "short", "Idiot! " * 20]
+    rows = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs_of(spark, texts), model).collect()}
+    p = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, **toxicity.LEVEL)
+    size = lambda window, content: len(zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(window))
+    for i, text in enumerate(texts):
+        words = [w for w in (x.strip(toxicity.EDGE) for x in text.lower().split()) if w]
+        cuts = [words[a : a + 12] for a in range(0, max(1, len(words) - 6), 6)] if words else []
+        won = [size(x, m["ordinary"]) - size(x, m["toxic"] + m["ordinary"]) for x in ((" " + " ".join(c) + " ").encode("utf-16-le") for c in cuts)]
+        z = float(np.dot(toxicity.features(won), m["weights"]))
+        assert rows[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def test_toxicity_edges(spark):
     df = docs_of(spark, ODD)
     one = toxicity.fit(df, df.select("doc_id", F.lit(0).alias("toxic")))
@@ -281,6 +432,27 @@ def test_archives(spark, tmp_path):
         assert bytes(r["response"]["payload"]) == (b"" if again else payload)
 
 
+def test_damaged_archives_fail_loudly(spark, tmp_path):
+    import gzip
+
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(i, "http://h.example/", f"<p>{i}</p>" * 50) for i in range(5)], "page_id long, url string, html string").coalesce(1), path)
+    (file,) = (tmp_path / "w").glob("*.gz")
+    plain = gzip.decompress(file.read_bytes())
+    assert len(list(warc.records_of(plain))) == 15
+    for broken in (plain[:-40], plain.replace(b"Content-Length: ", b"Content-Size: ", 1), file.read_bytes()[:-30]):
+        with pytest.raises(warc.DamagedArchive):
+            list(warc.records_of(broken))
+    flipped = tmp_path / "f"
+    flipped.mkdir()
+    (flipped / "a.gz").write_bytes(gzip.compress(plain.replace(b"<p>3</p>", b"<p>4</p>")))
+    by_page = {r["page_id"]: r for r in warc.page_captures(warc.transactions(warc.read_records(spark, str(flipped), payloads=False))).collect()}
+    # figures are those of the body read back, not what the header says
+    assert by_page[3]["payload_digest"] == by_page[4]["payload_digest"]
+    (flipped / "a.gz").write_bytes(gzip.compress(plain[:-40]))
+    assert warc.read_records(spark, str(flipped), damaged="skip").count() == 14
+
+
 def test_archive_query(spark):
     df = queries.op6_warc_transactions(spark, SF)
     assert df.count() == spark.read.parquet(f"{SF}/pages.parquet").count() and df.where("payload_bytes is null or n_requests <> 1").count() == 0
@@ -405,6 +577,37 @@ def test_repeats_match_brute_force(spark, window, phrase):
     assert [(rows[i]["n_words"], rows[i]["n_removed"], rows[i]["kept_text"]) for i in range(len(texts))] == brute_removed(texts, window)
 
 
+def test_only_automata_locate(spark, monkeypatch):
+    """What the automata don't find stays, however often it recurs; a passage is found in documents that didn't quote it."""
+    words = prose(random.Random(12), 60)
+    docs = docs_of(spark, [words, "x y z " + words, words + " tail"])
+    assert [r["n_removed"] for r in phrases.without_repeats(docs).collect()] == [60] * 3
+    automaton = phrases.Automaton({b"a b": True, b"b c": False, b"zz y": True})
+    assert automaton.found(b"x a b c d a b".split(), 2).tolist() == [-1, 1, 0, -1, -1, 1, -1] and automaton.found([], 2).tolist() == [-1]
+    many = [b"w%d v%d" % (i, i) for i in range(70_000)]
+    wide = phrases.Automaton(dict.fromkeys(many, False))
+    text = b" ".join(many[::1000]).split()
+    assert wide.found(text, 2).tolist() == [0, -1] * 70
+    monkeypatch.setattr(phrases.Automaton, "found", lambda self, words, length: np.full(max(1, len(words)), -1, np.int8))
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(phrases)
+    try:
+        assert [r["n_removed"] for r in phrases.without_repeats(docs).collect()] == [0] * 3
+    finally:
+        cloudpickle.unregister_pickle_by_value(phrases)
+
+
+def test_many_shards_agree_with_one(spark, monkeypatch):
+    rnd = random.Random(13)
+    passages = [prose(rnd, 50) for _ in range(4)]
+    texts = [prose(rnd, 20) + " " + rnd.choice(passages) + " " + prose(rnd, 20) for _ in range(40)] + passages
+    whole = brute_removed(texts, 35)
+    monkeypatch.setattr(phrases, "SHARD", 600)
+    rows = {r["doc_id"]: r for r in phrases.without_repeats(docs_of(spark, texts)).collect()}
+    assert [(rows[i]["n_words"], rows[i]["n_removed"], rows[i]["kept_text"]) for i in range(len(texts))] == whole
+
+
 def test_anchors_are_the_same_by_either_way(monkeypatch):
     rng = np.random.default_rng(3)
     for n in (1, 34, 35, 36, 500):
