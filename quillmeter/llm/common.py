@@ -17,13 +17,16 @@ BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 def prepare(df: DataFrame) -> SparkSession:
     """The session of df, with a checkpoint folder and batches small enough for long texts.
 
-    The folder comes from spark.checkpoint.dir; only where that is unset, as in tests on one
-    machine, is a temporary one made.
+    The folder comes from spark.checkpoint.dir; only where that is unset on one machine, as in
+    tests, is a temporary one made. On a cluster a folder of one machine would lose what others
+    wrote, so there a missing setting is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quillmeter-checkpoints"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

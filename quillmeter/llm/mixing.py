@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmeter.llm.common import cut
+
 #: Rows that one task ranks at most; larger groups of one source and size are split.
 GROUP = 100_000
 
@@ -74,14 +76,27 @@ def word_count(text_col: str):
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """documents with size, source_size, target and copies; see source_targets and systematic_sample."""
+    """documents with size, source_size, target and copies; see source_targets and systematic_sample.
+
+    Words are counted in one pass over the columns given, which is kept: select what is needed, or
+    take mixed_rows, before the texts.
+    """
     named = {"size", "source_size", "target", "copies"}
-    kept = docs.select(*[F.col(c) for c in docs.columns if c not in named], word_count("text").alias("size"))
+    kept = cut(docs.select(*[F.col(c) for c in docs.columns if c not in named and c != "text"], word_count("text").alias("size")))
     sizes = kept.groupBy("source").agg(F.sum("size").alias("source_size"))
     return systematic_sample(kept, source_targets(sizes, weights, share, most))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as many times as it is taken."""
-    taken = mix_documents(docs, **how).where("copies > 0")
-    return taken.select(*[c for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    """The mix itself: each row of docs as many times as it is taken.
+
+    Copies are decided on rows without their texts, which travel once, to meet the decision. A
+    row is told by a digest of its columns and, among equal rows, by a number: equal rows are each
+    other's copies, so any of them may have any of their numbers.
+    """
+    plain = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    keyed = docs.withColumn("_key", plain)
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    taken = mix_documents(keyed.select("doc_id", "source", "text", "_key"), **how).withColumn("_nth", nth).where("copies > 0").select("_key", "_nth", "copies")
+    rows = keyed.withColumn("_nth", nth).join(taken, ["_key", "_nth"])
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

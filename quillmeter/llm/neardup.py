@@ -150,10 +150,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     large = member.where(~small).select("rep", "n")
     split = shared.select("key", "rep").join(large, "rep").select(F.col("key").alias("gid"), F.lit(1).alias("kind"), "rep", "n")
     groups = cut(whole.unionByName(split))
-    sums = groups.groupBy("gid", "kind").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
+    sums = groups.groupBy("gid", "kind").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     sums = sums.select("gid", "kind", F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.when(F.col("docs") <= 2 * BLOCK_DOCS, F.ceil(F.col("shingles") / (2 * BLOCK_SHINGLES))).otherwise(blocks)).cast("int").alias("blocks"))
-    placed = groups.join(sums, ["gid", "kind"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # only groups of several blocks are looked up; they are few, as each fills its blocks
+    placed = groups.join(sums.where("blocks > 1"), ["gid", "kind"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.select("gid", "kind", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("gid", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))

@@ -83,9 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP3_SQL = """
 with recursive v as (
-  select vec_id, embedding::double[] as v, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings
+  select vec_id, embedding::double[] as v, list_max(list_transform(embedding::double[], lambda x: abs(x))) as most from embeddings
+), scaled as (
+  select vec_id, most, case when most > 1e140 or most < 1e-140 then list_transform(v, lambda x: x / most) else v end as v from v where most > 0 and isfinite(most) and len(list_filter(v, lambda x: x is null or isnan(x))) = 0
 ), good as (
-  select vec_id, v, n from v where n > 0 and isfinite(n) and len(list_filter(v, lambda x: x is null)) = 0
+  select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from scaled
 ), pairs as (
   select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id
   where list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95

@@ -43,10 +43,12 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     empty = F.array().cast(SPAN)
 
     def place(values: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        steps = F.zip_with(gaps, values, lambda g, m: (F.char_length(g) + F.coalesce(F.char_length(m), F.lit(0))).cast("long"))
-        starts = let(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)), lambda g: let(sums_before(F.slice(steps, F.lit(1), F.size(values))), lambda s: F.zip_with(s, g, lambda at, gap: at + F.char_length(gap))))
-        return F.zip_with(starts, values, lambda s, v: F.struct(s.alias("start"), (s + F.char_length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
+        def between(gaps: Column) -> Column:
+            steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, m: (F.char_length(g) + F.char_length(m)).cast("long"))
+            starts = F.zip_with(sums_before(steps), F.slice(gaps, F.lit(1), F.size(values)), lambda at, gap: at + F.char_length(gap))
+            return F.zip_with(starts, values, lambda s, v: F.struct(s.alias("start"), (s + F.char_length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
+
+        return let(F.split(text, pattern, -1), between)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(text.rlike(pattern), let(found, lambda v: F.when(F.size(v) > 0, place(v)).otherwise(empty)).cast(SPAN)).otherwise(empty)

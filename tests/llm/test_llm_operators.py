@@ -206,6 +206,22 @@ def test_vectors_match_brute_force_and_recall(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_long_lists_split_by_two_pivots_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3, 32))
+    df = spark.createDataFrame([(i, [float(c) for c in base[i % 3] + rng.normal(size=32) * 0.12]) for i in range(120)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, vectors.near_vectors(df, pivots=16).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    assert sorted(map(tuple, vectors.near_vectors(df, pivots=16).collect())) == whole and sum(r[1] for r in whole) > 2_000
+
+
+def test_vectors_of_any_size_link(spark):
+    v = [1.0, 2.0, -3.0, 0.5]
+    rows = [(1, v), (2, [x * 1e200 for x in v]), (3, [x * 1e-200 for x in v]), (4, [-x * 1e-300 for x in v]), (5, [float("inf")] * 4), (6, [0.0] * 4)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
 # secrets and personal data
 
 
@@ -492,6 +508,11 @@ def test_mix_is_near_targets_and_repeats(spark):
     again = {r["doc_id"]: r["copies"] for r in mixing.mix_documents(df.repartition(7)).collect()}
     assert again == {r["doc_id"]: r["copies"] for r in rows}
     assert mixing.mixed_rows(df).count() == sum(r["copies"] for r in rows)
+    double = df.unionByName(df.limit(200))
+    own = mixing.mix_documents(double)
+    taken = {tuple(r): n for r, n in ((r[:2], r[2]) for r in own.groupBy("doc_id", "size").agg(F.sum("copies").alias("n")).collect()) if n}
+    drawn = {tuple(r[:2]): r[2] for r in mixing.mixed_rows(double).groupBy("doc_id", mixing.word_count("text").alias("size")).count().collect()}
+    assert drawn == taken and set(mixing.mixed_rows(df).columns) == set(df.columns)
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
