@@ -95,9 +95,14 @@ def busiest_day(spark: SparkSession, d: str) -> DataFrame:
     return reports.busiest_day(b.usage(spark, d))
 
 
-@query(f"{U}, n as (select source, session_id, count(*) as n from usage where event_index % 50 = 1 group by all) select source from n group by source having bool_and(n = 1)")
+@query(f"{U}, f as (select * from usage qualify source <> 'click' or row_number() over (partition by source, session_id order by event_index) = 1), n as (select source, session_id, count(*) as n from f group by all) select source from n group by source having bool_and(n = 1)")
 def single_event_sources(spark: SparkSession, d: str) -> DataFrame:
-    return reports.single_event_sources(b.usage(spark, d).where("event_index % 50 = 1"))
+    """One source logs the first event of a session only."""
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("source", "session_id").orderBy("event_index"))
+    u = b.usage(spark, d).withColumn("_n", first).where("source <> 'click' or _n = 1")
+    return reports.single_event_sources(u)
 
 
 # blocks
@@ -574,10 +579,10 @@ def ledger_health(spark: SparkSession, d: str) -> DataFrame:
     return sinks.ledger_health(u, there.unionByName(u.select("source", F.lit("new").alias("file")).distinct()))
 
 
-@query(f"{U} select source, file, count(*) as events, max(ms) as last_ms from usage where file in ('f1', 'f2') and source = 'click' group by all having max(ms) < epoch_ms(timestamp '2024-01-30 00:00:00')")
+@query(f"{U} select source, file, count(*) as events, max(ms) as last_ms from usage where file in ('f1', 'f2') and source = 'click' group by all having max(ms) < epoch_ms(timestamp '2024-03-30 00:00:00')")
 def prunable_files(spark: SparkSession, d: str) -> DataFrame:
     u = b.usage(spark, d)
-    return sinks.prunable(u, u.where("file not in ('f1', 'f2')"), "click", "2024-01-30 00:00:00")
+    return sinks.prunable(u, u.where("file not in ('f1', 'f2')"), "click", "2024-03-30 00:00:00")
 
 
 @query(f"{U} select source, file, count(*) as events from usage group by all")

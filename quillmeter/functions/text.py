@@ -51,6 +51,10 @@ def provider_of_model(c: Column) -> Column:
 
 def without_end_separators(c: Column) -> Column:
     """Without separators at the end, except the one of a bare root."""
+    return F.when(~(c.endswith("/") | c.endswith("\\")), c).otherwise(_without_end_separators(c))
+
+
+def _without_end_separators(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)^(?:([A-Za-z]:[/\\])[/\\]*|([/\\])[/\\]*|(.*?)[/\\]*)$", "$1$2$3")
 
 
@@ -60,17 +64,21 @@ def _above(c: Column, tail: str, separator: str = r"[/\\]") -> Column:
 
 
 def project_key(root: Column) -> Column:
-    """The project of a directory: what holds its node_modules, the repository of its agent worktree."""
-    one = _above(without_end_separators(root), r"node_modules(?:[/\\].*)?")
+    """The project of a directory: what holds its node_modules, the repository of its agent worktree.
+
+    Most directories are neither, and end in no separator: they are told without a pattern.
+    """
+    plain = ~(root.contains("node_modules") | root.contains(".claude") | root.endswith("/") | root.endswith("\\"))
+    one = _above(_without_end_separators(root), r"node_modules(?:[/\\].*)?")
     two = _above(_above(one, r"\.claude/worktrees/[^/\\].*", "/"), r"\.claude\\worktrees\\[^/\\].*", r"\\")
-    return without_end_separators(two)
+    return F.when(plain, root).otherwise(_without_end_separators(two))
 
 
 def parent_key(key: Column) -> Column:
     """The key of the directory above; null for a bare root or a key without a separator."""
     bare = key.rlike(r"^[/\\]$") | key.rlike(r"^[A-Za-z]:[/\\]$")
     head = F.regexp_extract(key, r"(?s)^(.*)[/\\][^/\\]*$", 1)
-    parent = F.when(head.rlike("^([A-Za-z]:)?$"), F.concat(head, F.substring(key, F.char_length(head) + 1, F.lit(1)))).otherwise(without_end_separators(head))
+    parent = F.when(head.rlike("^([A-Za-z]:)?$"), F.concat(head, F.substring(key, F.char_length(head) + 1, F.lit(1)))).otherwise(_without_end_separators(head))
     return F.when(bare | ~key.rlike(r"[/\\]"), None).otherwise(parent)
 
 
