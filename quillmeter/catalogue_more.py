@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.catalogue import ACTIVE, BEFORE, BLOCKS, CUBE, DAY, GAPS, MONEY, NOW, PLANS, TOKENS, U, WEEK, WIDE, T, query, side, values_sql
+from quillmeter.catalogue import ACTIVE, BEFORE, BLOCKS, CUBE, DAY, GAPS, MONEY, NOW, PLANS, RATES_SQL, SUMS, TOKENS, U, WEEK, WIDE, T, query, side, values_sql
 from quillmeter.functions import calendar, format, numbers, ranges, text
-from quillmeter.operators import joins, notes, reports, share, totals, trends, windows
+from quillmeter.operators import filters, joins, notes, reports, share, totals, trends, windows
 from quillmeter.plans import bindings as b
 from quillmeter.pricing import cost, rates
 from quillmeter.sources import sessions, sinks
@@ -614,3 +614,67 @@ def file_growth(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.range(20).select(F.concat(F.lit("f"), "id").alias("file"), F.lit(100).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("modified"), i.alias("i"))
     now = rows.withColumns({"size": F.when(F.col("i") == 2, 150).when(F.col("i") == 3, 90).otherwise(F.col("size")).cast("bigint"), "modified": F.when(F.col("i").isin(2, 3), 2).otherwise(F.col("modified")).cast("bigint")})
     return resume.growth(rows.where("i <> 0"), now.where("i <> 4"))
+
+
+@query(f"""{U}, x as (select *, {DAY} as day, isodow(ts) > 5 as we from usage), {RUNS.format(key='source')}, dd as (select distinct ts::date as d from usage), rr as (select d, d - row_number() over (order by d)::int as run from dd)
+select sum(total_tokens)::bigint as total_tokens, {MONEY} as cost_usd, count(*) as events, count(distinct source || '/' || session_id) as sessions, count(distinct day) as active_days, coalesce(sum(total_tokens) filter (not we), 0)::bigint as weekday_tokens, coalesce(sum(total_tokens) filter (we), 0)::bigint as weekend_tokens,
+ (select arg_min(h, (-t, h)) from (select hour(ts) as h, sum(total_tokens) as t from usage group by 1)) as peak_hour, (select arg_min(day, (-t, day)) from (select day, sum(total_tokens) as t from x group by 1)) as busiest_day,
+ (select max(n) from (select count(*) as n from rr group by run)) as longest_streak, (select coalesce(sum(ms), 0)::bigint from whole) as active_ms from x""")
+def wrapped_figures(spark: SparkSession, d: str) -> DataFrame:
+    return reports.wrapped_figures(b.usage(spark, d), 2024)
+
+
+@query(f"{U} select coalesce(machine, 'local') as machine, count(*) as events, {SUMS}, {MONEY} as cost_usd, coalesce(bool_or(cost_usd is null), false) as cost_incomplete from usage group by 1")
+def machine_split(spark: SparkSession, d: str) -> DataFrame:
+    return reports.machine_split(b.usage(spark, d))
+
+
+@query(f"{U} select source, count(*) as events, count(machine) as elsewhere from (select source, machine from usage union all select source, null from usage where event_index % 3 = 0) group by source")
+def union_of_sources(spark: SparkSession, d: str) -> DataFrame:
+    u = b.usage(spark, d)
+    both = reports.union_sources(u, u.where("event_index % 3 = 0").drop("machine"))
+    return both.groupBy("source").agg(F.count("*").alias("events"), F.count("machine").alias("elsewhere"))
+
+
+def outcome_sql(expression: str) -> str:
+    return f"{U}, {RATES_SQL}, x as (select *, {expression} as outcome from est) select source, outcome, count(*) as events from x group by all"
+
+
+BILLABLE = "(input_tokens > 0 or output_tokens > 0 or reasoning_tokens > 0 or cache_read_tokens > 0 or cache_write_tokens > 0)"
+
+
+@query(outcome_sql(f"case when cost_usd is not null and not (cost_usd = 0 and model is not null and {BILLABLE}) then 'unchanged' when model is not null and {BILLABLE} and estimate is not null then 'priced' when cost_usd = 0 and model is not null and {BILLABLE} then 'unchanged' else 'relabelled' end"))
+def price_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    rows = cost.priced(b.usage(spark, d), rates.example_rates(spark), "both", with_outcome=True)
+    return rows.groupBy("source", "outcome").agg(F.count("*").alias("events"))
+
+
+@query(f"{U} select case when model = 'gpt-5-codex' then 'own' when model = 'claude-opus-4-1-20250805' then 'key' else 'listed' end as rates, count(*) as events, round(sum(input_tokens / 1e6::double * case when model = 'gpt-5-codex' then 7 when model = 'claude-opus-4-1-20250805' then 11 when model = 'claude-sonnet-4-5' then 3 else 1.25 end), 9) as usd from usage where model is not null group by 1")
+def price_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of one's own for a name, and for the key that another name resolves to."""
+    own = spark.createDataFrame([("gpt-5-codex", 7.0), ("claude-opus-4-1", 11.0)], "model_key string, input double")
+    rated = cost.with_rates(b.usage(spark, d), rates.example_rates(spark), overrides=own).where("model is not null")
+    kind = F.when(F.col("model") == "gpt-5-codex", "own").when(F.col("model_key") == "claude-opus-4-1", "key").otherwise("listed")
+    return rated.groupBy(kind.alias("rates")).agg(F.count("*").alias("events"), F.round(F.sum(F.col("input_tokens") / F.lit(1e6) * F.col("rates.input")), 9).alias("usd"))
+
+
+EXPLAINED = [("gpt-5-codex-high", "gpt-5-codex", "effort_suffix", "resolved", None), ("mine", "mine", None, "raw", None), ("gpt5-minii", "gpt-5-mini", "fuzzy", "none", "1"), ("nothing-like-it", None, None, "none", None)]
+
+
+@query(values_sql("model, model_key, rule, override, edits", EXPLAINED))
+def price_explained(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([("gpt-5-codex", 7.0), ("mine", 1.0)], "model_key string, input double")
+    names = spark.createDataFrame([(x[0],) for x in EXPLAINED], "model string")
+    return cost.explain(names, rates.example_rates(spark), overrides=own).select("model", "model_key", "rule", "override", F.col("edits").cast("string").alias("edits"))
+
+
+@query(f"{U} select case when {DAY} >= '2024-01-10' then 'window' else 'before' end as part, count(*) as events from usage where {DAY} between '2024-01-03' and '2024-01-16' and (model = 'gpt-5-codex' or contains(model, 'opus')) group by 1")
+def filter_with_lookback(spark: SparkSession, d: str) -> DataFrame:
+    window, before = filters.with_lookback(b.usage(spark, d), "2024-01-10", "2024-01-16", 7, models=["GPT-5-codex", "opus"])
+    return window.select(F.lit("window").alias("part")).unionByName(before.select(F.lit("before").alias("part"))).groupBy("part").agg(F.count("*").alias("events"))
+
+
+@query(f"{U}, x as (select {DAY} as period, {MONEY} as cost_usd from usage group by 1) select period, cost_usd, round(cost_usd / (select sum(cost_usd::decimal(38,12))::varchar::double from x), 6) as cost_share from x")
+def cost_shares(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.usage(spark, d).groupBy(calendar.period_key(F.col("ts"), "day").alias("period")).agg(numbers.money_sum(F.col("cost_usd")).alias("cost_usd"))
+    return totals.with_cost_share(rows)

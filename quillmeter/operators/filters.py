@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.functions.calendar import in_local_window
+from quillmeter.functions.ranges import shift
 from quillmeter.functions.text import UNATTRIBUTED, billing_provider, project_key
 from quillmeter.schema import LOCAL
 
@@ -40,12 +41,27 @@ def model(df: DataFrame, values: list[str], seen: DataFrame | None = None) -> Da
     return df.where(any_of([F.col("model") == v if v in present else F.col("model").contains(v) for v in wanted]))
 
 
-def source(df: DataFrame, values: list[str]) -> DataFrame:
-    return df.where(F.col("source").isin(values))
+def with_lookback(df: DataFrame, since: str, until: str, days: int, tz: str = "UTC", models: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of the window, rows of the days before it), both by the rule for models that the window resolves."""
+    window = local_window(df, since, until, tz)
+    before = local_window(df, shift(since, -days), shift(since, -1), tz)
+    return (model(window, models), model(before, models, window)) if models else (window, before)
 
 
-def machine(df: DataFrame, values: list[str]) -> DataFrame:
-    return df.where(F.coalesce("machine", F.lit(LOCAL)).isin(values))
+def source(df: DataFrame, values: list[str], known: list[str] | None = None) -> DataFrame:
+    """Rows of sources; where those that there are are given, an unknown one is an error."""
+    return df.where(F.col("source").isin(_known(values, known, "source")))
+
+
+def machine(df: DataFrame, values: list[str], known: list[str] | None = None) -> DataFrame:
+    """Rows of machines, this one named local; where the configured ones are given, an unknown one is an error."""
+    return df.where(F.coalesce("machine", F.lit(LOCAL)).isin(_known(values, [*known, LOCAL] if known is not None else None, "machine")))
+
+
+def _known(values: list[str], known: list[str] | None, what: str) -> list[str]:
+    from quillmeter.operators.notes import known_names
+
+    return values if known is None else known_names(values, known, what)
 
 
 def repo(df: DataFrame, value: str) -> DataFrame:

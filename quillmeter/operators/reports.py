@@ -377,3 +377,36 @@ def summary(usage: DataFrame, now: str, tz: str = "UTC") -> DataFrame:
     wide = rows.withColumn("_s", F.explode(hits)).withColumns({"window": F.col("_s.window"), "period": F.col("_s.period")})
     keys = [F.col("window"), F.col("period"), F.col("source")]
     return wide.groupingSets([keys, keys[:2]], *keys).agg(F.count("*").alias("events"), F.count_distinct("_day").alias("active_days"), *totals())
+
+
+def wrapped_figures(usage: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
+    """One row of a year: totals, sessions, active days and time, the longest streak, the peak hour, weekdays against weekends, the busiest day."""
+    from quillmeter.operators.windows import streaks, union_active_time
+
+    rows = usage.where(in_local_window(F.col("ts"), f"{year}-01-01", f"{year}-12-31", tz))
+    day, hour = period_key(F.col("ts"), "day", tz), F.hour(local(F.col("ts"), tz)).cast("bigint")
+    rows = rows.withColumns({"_day": day, "_hour": hour, "_end": F.weekday(local(F.col("ts"), tz).cast("date")) >= 5})
+    only = lambda test: F.coalesce(F.sum(F.when(test, F.col("total_tokens"))), F.lit(0))
+    whole = rows.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"), money_sum(F.col("cost_usd")).alias("cost_usd"), F.count("*").alias("events"), F.count_distinct("source", "session_id").alias("sessions"), F.count_distinct("_day").alias("active_days"), only(~F.col("_end")).alias("weekday_tokens"), only(F.col("_end")).alias("weekend_tokens"))
+    best = lambda key: F.min(F.struct((-F.col("t")).alias("t"), F.col(key).alias("k")))["k"]
+    hours = rows.groupBy("_hour").agg(F.sum("total_tokens").alias("t")).where("t > 0").agg(best("_hour").alias("peak_hour"))
+    days = rows.groupBy("_day").agg(F.sum("total_tokens").alias("t")).agg(best("_day").alias("busiest_day"))
+    streak = streaks(rows.select(F.col("_day").alias("day"))).agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest_streak"))
+    active = union_active_time(rows, ["source", "session_id"], tz).agg(F.coalesce(F.sum("active_ms"), F.lit(0)).alias("active_ms"))
+    out = whole.withColumn("_k", F.lit(0))
+    for one in (hours, days, streak, active):
+        out = out.join(one.withColumn("_k", F.lit(0)), "_k")
+    return out.drop("_k")
+
+
+def machine_split(usage: DataFrame) -> DataFrame:
+    """Totals by machine, this one named local."""
+    return usage.groupBy(F.coalesce("machine", F.lit(LOCAL)).alias("machine")).agg(F.count("*").alias("events"), *totals())
+
+
+def union_sources(*parts: DataFrame) -> DataFrame:
+    """All rows of sources, history and machines; a column that a part lacks is null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

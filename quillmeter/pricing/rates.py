@@ -27,9 +27,13 @@ def example_rates(spark: SparkSession) -> DataFrame:
 
 
 def rates_from_payload(spark: SparkSession, path: str) -> DataFrame:
-    """Rates of a JSON object {model: {input_cost_per_token, ...}}; keys for prompts above N thousand tokens become tiers."""
+    """Rates of a JSON object {model: {input_cost_per_token, ...}}; keys for prompts above N thousand tokens become tiers.
+
+    A rate that is listed at priority only holds in its place; priority_only says that one is.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("model_key", "r"))
-    per = lambda name: (F.element_at("r", name).try_cast("double") * 1e6)
+    listed = lambda name: F.element_at("r", name).try_cast("double")
+    per = lambda name: F.coalesce(listed(name), listed(name + "_priority")) * 1e6
     base = {"input": "input_cost_per_token", "output": "output_cost_per_token", "cache_read": "cache_read_input_token_cost", "cache_write": "cache_creation_input_token_cost", "cache_write_1h": "cache_creation_input_token_cost_above_1hr", "reasoning": "output_cost_per_reasoning_token"}
     above = F.array_distinct(F.filter(F.transform(F.map_keys("r"), lambda k: F.regexp_extract(k, r"_above_([0-9]+)k_tokens$", 1).try_cast("bigint")), lambda x: x.isNotNull()))
 
@@ -38,7 +42,7 @@ def rates_from_payload(spark: SparkSession, path: str) -> DataFrame:
         return F.struct((t * 1000).alias("above"), at(base["input"]).alias("input"), at(base["output"]).alias("output"), at(base["cache_read"]).alias("cache_read"), at(base["cache_write"]).alias("cache_write"), F.lit(None).cast("double").alias("cache_write_1h"))
 
     tiers = F.transform(F.reverse(F.array_sort(above)), tier)
-    out = raw.select(F.lower("model_key").alias("model_key"), F.element_at("r", "litellm_provider").alias("provider"), *[per(v).alias(k) for k, v in base.items()], F.when(per(base["reasoning"]).isNotNull(), "separate").alias("reasoning_billing"), F.element_at("r", "max_input_tokens").try_cast("bigint").alias("max_input_tokens"), F.when(F.size(tiers) > 0, tiers).alias("tiers"))
+    out = raw.select(F.lower("model_key").alias("model_key"), F.element_at("r", "litellm_provider").alias("provider"), *[per(v).alias(k) for k, v in base.items()], F.when(per(base["reasoning"]).isNotNull(), "separate").alias("reasoning_billing"), F.element_at("r", "max_input_tokens").try_cast("bigint").alias("max_input_tokens"), F.when(F.size(tiers) > 0, tiers).alias("tiers"), F.exists(F.array(*[F.coalesce(listed(v).isNull() & listed(v + "_priority").isNotNull(), F.lit(False)) for v in base.values()]), lambda x: x).alias("priority_only"))
     return valid_rates(out.where("input is not null or output is not null"))
 
 
@@ -52,4 +56,18 @@ def valid_rates(rates: DataFrame) -> DataFrame:
 
 def with_overrides(rates: DataFrame, overrides: DataFrame) -> DataFrame:
     """rates with rows of overrides in place of, or beside, those of the same key."""
-    return rates.join(overrides, "model_key", "left_anti").unionByName(overrides.select(rates.columns))
+    return rates.join(overrides, "model_key", "left_anti").unionByName(overrides, allowMissingColumns=True).select(rates.columns)
+
+
+def load_rates(*ways) -> tuple[DataFrame, str]:
+    """(rates, name) of the first of ways, pairs of name and function, that gives any: a fresh copy, a fetch, a stale copy, a bundled one."""
+    failed = []
+    for name, way in ways:
+        try:
+            found = way()
+            if found is not None and not found.isEmpty():
+                return found, name
+            failed.append(f"{name}: no rates")
+        except Exception as error:  # a source that can't be read gives way to the next
+            failed.append(f"{name}: {str(error).splitlines()[0]}")
+    raise ValueError("no source of rates: " + "; ".join(failed))

@@ -12,6 +12,20 @@ from quillmeter.functions import numbers, text
 MOST_TOKENS = 10**12
 
 
+def distinct_roots(paths: list[str]) -> list[str]:
+    """Folders without those that are given twice or lie below another, so that no file is read twice."""
+    plain = sorted({p.rstrip("/") or "/" for p in paths}, key=len)
+    kept: list[str] = []
+    for p in plain:
+        if not any(p == k or p.startswith(k.rstrip("/") + "/") for k in kept):
+            kept.append(p)
+    return kept
+
+
+def _roots(path: str | list[str]) -> str | list[str]:
+    return path if isinstance(path, str) else distinct_roots(path)
+
+
 def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, needles: list[str] | None = None) -> DataFrame:
     """(file, line, value, j): the lines of files below path, in their order, with their JSON value.
 
@@ -19,7 +33,7 @@ def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, n
     lines. `line` grows within a file: the split's place first, then the row's place in it.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
-    raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(_roots(path))
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
     if needles:
         raw = raw.where(reduce(lambda a, b: a | b, [F.col("value").contains(n) for n in needles]))
@@ -27,9 +41,15 @@ def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, n
     return raw.select("file", F.struct("_block", "_row").alias("line"), "value", F.try_parse_json("value").alias("j"))
 
 
+def classified(spark: SparkSession, path: str | list[str], kinds: dict[str, list[str]], glob: str | None = None) -> DataFrame:
+    """lines that hold a needle of any kind, read once, with a column a kind that says whether it holds one of that kind's."""
+    found = lines(spark, path, glob, [n for needles in kinds.values() for n in needles])
+    return found.withColumns({k: reduce(lambda a, b: a | b, [F.col("value").contains(n) for n in needles]) for k, needles in kinds.items()})
+
+
 def documents(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
     """(file, j): whole JSON files."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(_roots(path))
     return raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("j"))
 
 
@@ -104,6 +124,7 @@ def usage_rows(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     signal = (F.col("total_tokens") > 0) | (F.col("reasoning_tokens") > 0) | (F.coalesce("cost_usd", F.lit(0.0)) > 0)
     big = F.greatest("total_tokens", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens") > MOST_TOKENS
     reject = F.when(~signal, "no_token_usage").when(F.col("ts").isNull(), "invalid_timestamp").when(F.col("session_id").isNull() | big, "event_creation_failed")
+    # fixed values: the reasons are those that reports of skipped rows name
     order = ["source", "session_id", "ts", "repo_root", "provider", "model", *FIELDS, "total_tokens", "single_request", "cost_usd", "cost_mode", "machine", "message_id", "request_id", "file", "event_index"]
     return wide.withColumn("reject", reject).select(*order, "reject")
 

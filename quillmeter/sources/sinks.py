@@ -295,3 +295,28 @@ def prunable(ledger: DataFrame, discovered: DataFrame, source: str | None = None
         rows = rows.where(F.col("source") == source)
     found = rows.groupBy("source", "file").agg(F.count("*").alias("events"), F.max(epoch_ms(F.col("ts"))).alias("last_ms"))
     return found.where(F.col("last_ms") < epoch_ms(F.lit(before).cast("timestamp_ntz"))) if before else found
+
+
+def write_session_events(events: DataFrame, path: str) -> None:
+    """Session events into their part of the ledger, by source and file; a row replaces the one stored for its place."""
+    upsert_ledger(events, path)
+
+
+def read_session_events(spark: SparkSession, path: str, kinds: list[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Stored session events of kinds and files(source, file), in their order within a file."""
+    rows = read_ledger(spark, path)
+    if kinds:
+        rows = rows.where(F.col("kind").isin(kinds))
+    return rows if files is None else rows.join(files.select("source", "file").distinct(), ["source", "file"], "left_semi")
+
+
+def migrate_ledger(spark: SparkSession, old: str, new: str, change, parts: int = 16) -> None:
+    """Rewrites a ledger through change, a function of frames, in ranges of its keys one after the other; a range that is there already is replaced."""
+    if not 1 <= parts <= 16:
+        raise ValueError("a range is told by one of 16 digits")
+    stored = spark.read.parquet(old)
+    digits = "0123456789abcdef"
+    for i in range(parts):
+        mine = [d for n, d in enumerate(digits) if n * parts // 16 == i]
+        rows = change(stored.where(F.substring("file_hash", 1, 1).isin(mine)))
+        rows.repartition(*LEDGER_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LEDGER_KEYS).parquet(new)
