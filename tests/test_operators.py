@@ -138,7 +138,7 @@ def test_sqlite_sources(spark, tmp_path):
     db.commit()
     assert events(sqlite.opencode(spark, str(tmp_path / "o")), "message_id", "total_tokens") == [("a", 3), ("b", 4)]
     inner = bytes([2 << 3, 7, 3 << 3, 9, 11 << 3 | 2, 2]) + b"r1"
-    assert sqlite.usage_of(bytes([1 << 3 | 2, len(inner)]) + inner) == {"input": 7, "output": 9, "response": "r1"}
+    assert sqlite.proto_fields(inner) == [(2, 0, 7), (3, 0, 9), (11, 2, b"r1")] and sqlite.proto_fields(b"\xff\xff") == [] and sqlite.turn_of(inner) is None
 
 
 def test_git_log(spark, tmp_path):
