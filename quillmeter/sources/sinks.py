@@ -320,3 +320,64 @@ def migrate_ledger(spark: SparkSession, old: str, new: str, change, parts: int =
         mine = [d for n, d in enumerate(digits) if n * parts // 16 == i]
         rows = change(stored.where(F.substring("file_hash", 1, 1).isin(mine)))
         rows.repartition(*LEDGER_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LEDGER_KEYS).parquet(new)
+
+
+def push_otlp(rows: DataFrame, url: str, batch: int = 500, tries: int = 4, wait: float = 0.5, headers: dict[str, str] | None = None) -> int:
+    """Posts rows as JSON arrays of `batch` at most from where they are; returns their number.
+
+    A batch that the receiver can't take now (429, 5xx, no connection) is tried again, each time
+    after twice the wait; anything else, or the last try, fails the job. A task that is run again
+    sends its batches again: ids repeat from run to run, so that the receiver can tell.
+    """
+    import json
+    import time
+    import urllib.error
+    import urllib.request
+
+    sent = rows.sparkSession.sparkContext.accumulator(0)
+    own = {"Content-Type": "application/json"} | (headers or {})
+
+    def post(lines: list[str]) -> None:
+        body = json.dumps([json.loads(x) for x in lines]).encode()
+        for n in range(tries):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(url, body, own, method="POST"), timeout=30):
+                    return
+            except urllib.error.HTTPError as error:
+                if n + 1 == tries or not (error.code == 429 or error.code >= 500):
+                    raise
+            except urllib.error.URLError:
+                if n + 1 == tries:
+                    raise
+            time.sleep(wait * 2**n)
+
+    def part(found) -> None:
+        lines: list[str] = []
+        for row in found:
+            lines.append(row["value"])
+            if len(lines) == batch:
+                post(lines)
+                sent.add(len(lines))
+                lines = []
+        if lines:
+            post(lines)
+            sent.add(len(lines))
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).foreachPartition(part)
+    return sent.value
+
+
+def share_page(cells: DataFrame, title: str, most: int = 200_000) -> str:
+    """A page of its own that holds cells as data and sums them by any dimension; nothing in the data can end its script."""
+    import html
+    import json
+
+    rows = [json.loads(r["j"]) for r in _finished(cells.select(F.to_json(F.struct(*cells.columns)).alias("j")), most)]
+    data = json.dumps(rows, ensure_ascii=True).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
+    script = """const by=document.getElementById('by'),out=document.getElementById('out');
+for(const k of ['period','source','model','project','machine']){const o=document.createElement('option');o.textContent=k;by.append(o)}
+function show(){const sums=new Map();for(const c of cells){const k=String(c[by.value]),s=sums.get(k)||[0,0,0];s[0]+=c.events;s[1]+=c.total_tokens;s[2]+=c.cost_usd||0;sums.set(k,s)}
+out.replaceChildren();for(const [k,s] of [...sums].sort((a,b)=>b[1][1]-a[1][1])){const r=out.insertRow();for(const v of [k,s[0],s[1],s[2].toFixed(2)])r.insertCell().textContent=v}}
+by.onchange=show;show()"""
+    name = html.escape(title)
+    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{name}</title><h1>{name}</h1><select id="by"></select><table><thead><tr><th>name<th>events<th>tokens<th>USD</thead><tbody id="out"></tbody></table><script>const cells={data};{script}</script></html>'

@@ -1,7 +1,10 @@
 """Ledger, bundles, resumed reads, session events, windows of dates, text for people, and plans of reports."""
 
 import datetime
+import http.server
 import json
+import threading
+from typing import ClassVar
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +98,43 @@ def test_telemetry_rows_are_spans(spark, tmp_path):
     assert json.loads(sinks.envelope(usage.limit(2), "x"))["report"] == "x"
 
 
+class Receiver(http.server.BaseHTTPRequestHandler):
+    got: ClassVar[list] = []
+    answers: ClassVar[list] = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        code = self.answers.pop(0) if self.answers else 200
+        if code == 200:
+            self.got.extend(body)
+        self.send_response(code)
+        self.end_headers()
+
+    def log_message(self, *_):
+        pass
+
+
+def test_telemetry_is_pushed_in_batches(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    spans = sinks.otlp_traces(bindings.usage(spark, SF).limit(25)).coalesce(1)
+    Receiver.answers[:] = [503, 429]
+    assert sinks.push_otlp(spans, url, batch=10, wait=0.01) == 25 and len({x["span"]["spanId"] for x in Receiver.got}) == 25
+    Receiver.answers[:] = [400]
+    with pytest.raises(Exception, match="400"):
+        sinks.push_otlp(spans, url, wait=0.01)
+    server.shutdown()
+
+
+def test_a_page_holds_its_data_safely(spark):
+    cells = share.cube(bindings.usage(spark, SF)).limit(3).withColumn("project", F.lit("</script><b>"))
+    page = sinks.share_page(cells, "<Usage>")
+    assert "</script><b>" not in page and "&lt;Usage&gt;" in page and page.count("</script>") == 1
+    data = page.split("const cells=")[1].split(";const by")[0]
+    assert len(json.loads(data)) == 3
+
+
 # resumed reads
 
 
