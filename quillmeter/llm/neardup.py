@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     components are found by contraction. No pair of a group is a row anywhere.
 
     Empty sets link with nothing. Rows without an id keep their class's component_id (null if no
-    member has an id) and are kept only if it is null. Rows that repeat an id share its fate. An
+    member has an id) and are kept only if it is null; they join nothing themselves, so documents
+    that only such a row lies between stay apart. Rows that repeat an id share its fate. An
     empty table gives no rows; other columns are not read.
     """
     spark = prepare(docs)

@@ -367,6 +367,26 @@ def test_sums_before_over_blocks(spark):
         assert row["s"] == [i * (i + 1) // 2 for i in range(n)]
 
 
+def test_registered_scans_match_plain_matching(spark):
+    """op4 and op7 as registered, over a whole table: digests of base spans, and every base span among all spans."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for query, kinds, tests in ((queries.op4_credential_linking, SECRETS, SECRET_TESTS), (queries.op7_bootstrapped_pii, PRIVATE, PRIVATE_TESTS)):
+        rows = {r["doc_id"]: r for r in query(spark, SF).collect()}
+        assert set(rows) == set(texts)
+        for i, t in texts.items():
+            want = plain_spans(t, kinds, tests)
+            assert rows[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(rows[i]["spans"].split(",")) | {""}
+
+
+def test_registered_scores(spark):
+    rows = queries.op5_compression_toxicity(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    again = {r["doc_id"]: r["score"] for r in queries.op5_compression_toxicity(spark, SF).collect()}
+    assert again == {r["doc_id"]: r["score"] for r in rows}
+
+
 def test_native_operators_run_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (secrets.secret_digests(docs), pii.pii_digests(docs)):

@@ -5,7 +5,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from quillmeter.llm import neardup, packing
+from quillmeter.llm import neardup, packing, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +29,9 @@ def test_stages_decide_and_the_run_is_their_product(spark, corpus_pipeline):
         docs = out
     _, before, clean = seen[0]
     assert 0.7 * before.count() < clean.count() <= before.count()
+    model = toxicity.fit(before, toxicity.learnable(spark.read.parquet(f"{SF}/labels.parquet")))
+    rejected = {r["doc_id"] for r in toxicity.toxicity(before, model).where("score >= 0.5").collect()}
+    assert rejected and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in before.collect()} - rejected
     _, before, kept = seen[1]
     groups = neardup.near_duplicates(before, k=5)
     assert kept.count() == groups.select("component_id").distinct().count()
