@@ -39,18 +39,21 @@ def claude(spark: SparkSession, path: str) -> DataFrame:
     model = word("j", "$.message.model")
     raw = raw.where(model.isNull() | (model != "<synthetic>"))
     key = F.coalesce(F.when(word("j", "$.message.id").isNotNull(), F.concat_ws("\x00", word("j", "$.message.id"), word("j", "$.requestId"))), word("j", "$.uuid"), F.concat_ws("\x00", get("j", "$.timestamp"), model))
-    raw = raw.withColumn("_key", key).withColumn("_last", F.row_number().over(Window.partitionBy("file", "_key").orderBy(F.col("line").desc()))).where("_last = 1")
-    raw = _numbered(raw)
+    u = "$.message.usage."
+    output = count("j", u + "output_tokens")
+    parts = {"input_tokens": count("j", u + "input_tokens"), "output_tokens": output, "reasoning_tokens": F.least(output, count("j", u + "output_tokens_details.thinking_tokens")), "cache_read_tokens": count("j", u + "cache_read_input_tokens"), "cache_write_tokens": count("j", u + "cache_creation_input_tokens"), "cache_write_1h_tokens": count("j", u + "cache_creation.ephemeral_1h_input_tokens")}
+    facts = {"session": F.coalesce(word("j", "$.sessionId"), session_of(F.col("file"))), "at": first_time("j", "$.timestamp"), "cwd": word("j", "$.cwd"), "model": word("j", "$.message.model"), "mid": word("j", "$.message.id"), "rid": word("j", "$.requestId")}
+    # only what is read from a line travels, once, to the other lines of its file
+    rows = raw.select("file", "line", key.alias("_key"), *[v.alias(k) for k, v in {**parts, **facts}.items()]).repartition("file")
+    last = F.row_number().over(Window.partitionBy("file", "_key").orderBy(F.col("line").desc()))
+    rows = _numbered(rows.withColumn("_last", last).where("_last = 1"))
     told = documents(spark, path, "agent-*.meta.json").where(F.try_variant_get("j", "$.isFork", "boolean"))
     folder, agent = F.regexp_replace("file", "/[^/]+$", ""), word("j", "$.parentAgentId")
     parent = F.when(agent.isNull(), F.concat(F.regexp_replace(folder, "/[^/]+$", ""), F.lit(".jsonl"))).otherwise(F.concat(folder, F.lit("/agent-"), agent, F.lit(".jsonl")))
     forks = told.select(F.regexp_replace("file", r"\.meta\.json$", ".jsonl").alias("file"), parent.alias("_parent")).dropDuplicates(["file"])
-    theirs = raw.select(F.col("file").alias("_parent"), "_key")
-    raw = raw.join(forks, "file", "left").join(theirs, ["_parent", "_key"], "left_anti")
-    u = "$.message.usage."
-    output = count("j", u + "output_tokens")
-    parts = {"input_tokens": count("j", u + "input_tokens"), "output_tokens": output, "reasoning_tokens": F.least(output, count("j", u + "output_tokens_details.thinking_tokens")), "cache_read_tokens": count("j", u + "cache_read_input_tokens"), "cache_write_tokens": count("j", u + "cache_creation_input_tokens"), "cache_write_1h_tokens": count("j", u + "cache_creation.ephemeral_1h_input_tokens")}
-    return usage_rows(raw, "claude", session_id=F.coalesce(word("j", "$.sessionId"), session_of(F.col("file"))), ts=first_time("j", "$.timestamp"), repo_root=word("j", "$.cwd"), provider=F.lit("anthropic"), model=word("j", "$.message.model"), single_request=F.lit(True), message_id=word("j", "$.message.id"), request_id=word("j", "$.requestId"), event_index=F.col("line"), **parts)
+    theirs = rows.select(F.col("file").alias("_parent"), "_key").join(forks.select("_parent").distinct(), "_parent", "left_semi")
+    rows = rows.join(forks, "file", "left").join(theirs, ["_parent", "_key"], "left_anti")
+    return usage_rows(rows, "claude", session_id=F.col("session"), ts=F.col("at"), repo_root=F.col("cwd"), provider=F.lit("anthropic"), model=F.col("model"), single_request=F.lit(True), message_id=F.col("mid"), request_id=F.col("rid"), event_index=F.col("line"), **{k: F.col(k) for k in parts})
 
 
 def qwen(spark: SparkSession, path: str) -> DataFrame:

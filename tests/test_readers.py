@@ -183,3 +183,44 @@ def test_opencode_steps(spark, tmp_path):
     db.commit()
     rows = events(sqlite.opencode(spark, str(tmp_path)), "message_id", "event_index", "input_tokens", "output_tokens", "total_tokens", "cost_usd")
     assert rows == [("a", 0, 1, 2, 3, 0.5), ("a", 1, 3, 4, 7, 0.5), ("b", 0, 10, 7, 17, None), ("c", 0, 10, 5, 15, None)]
+
+
+JUNK = [
+    "{broken", "[]", "null", '"text"', "5", "", " ", "\x00", '{"type":"assistant","message":{"usage":[]}}', '{"type":"assistant","message":{"usage":{"input_tokens":"x","output_tokens":-5}}}', '{"type":"assistant","message":[]}',
+    '{"type":"message","usage":"x"}', '{"type":"message","usage":{"input":{},"cost":[]}}', '{"type":"assistant","usageMetadata":5}', '{"type":"assistant","usageMetadata":{"promptTokenCount":"NaN"}}', '{"type":"assistant/message","data":{"usage":7}}',
+    '{"name":"chat gen_ai","attributes":[]}', '{"name":"chat gen_ai","attributes":{"gen_ai.usage.input_tokens":"1e400"}}', '{"message":{"type":"StatusUpdate","payload":null}}', '{"type":"usage.record","usage":[1]}',
+    '{"type":"session_meta","payload":5}', '{"type":"session_meta","payload":{"id":[],"forked_from_id":"x","cli_version":"a.b"}}', '{"type":"event_msg","payload":{"type":"token_count","info":[]}}', '{"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":"x","last_token_usage":[]}}}', '{"type":"token_usage_record","payload":{"usage":{"input_tokens":9}}}',
+]
+BODIES = ["{broken", "[]", "null", "5", '{"messages":5}', '{"messages":[null,5,{"usage":"x"},{"type":"gemini","tokens":[]}],"usageLedger":{"events":[null,{"tokens":5}]}}', '[{"type":"say","say":"api_req_started","text":"{broken"},{"type":"say","say":"api_req_started","text":"[]","ts":"soon"},null]', '{"tokenUsage":{"inputTokens":"many"}}']
+
+
+@pytest.mark.parametrize("source", sorted(logs.READERS))
+def test_malformed_logs_give_no_event_and_no_error(spark, tmp_path, source):
+    write(tmp_path / "wire.jsonl", JUNK)
+    write(tmp_path / "b.jsonl", JUNK)
+    (tmp_path / "empty.jsonl").write_text("")
+    for i, body in enumerate(BODIES):
+        for name in (f"{i}.json", "ui_messages.json", "x.settings.json", "projects.json"):
+            at = tmp_path / "chats" / f"d{i}" / "chats" / name
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(body)
+    rows = logs.READERS[source](spark, str(tmp_path))
+    assert raw.good(rows).count() == 0, raw.good(rows).collect()
+    assert all(r["reason"] for r in raw.skipped(rows).collect())
+
+
+def test_one_bad_line_costs_one_line(spark, tmp_path):
+    good = lambda i: {"type": "assistant", "timestamp": "2026-01-01T00:00:01Z", "sessionId": "s", "requestId": "r", "message": {"id": i, "model": "claude-x", "usage": {"input_tokens": 3, "output_tokens": 1}}}
+    write(tmp_path / "a.jsonl", [good("a"), "{usage broken", {"type": "assistant", "message": {"usage": {"input_tokens": 1}}, "timestamp": "soon", "sessionId": "s"}, good("b")])
+    rows = logs.claude(spark, str(tmp_path))
+    assert events(rows, "message_id") == [("a",), ("b",)]
+    assert [(r["reason"], r["rows"]) for r in raw.skipped(rows).collect()] == [("invalid_timestamp", 1)]
+    assert raw.malformed(raw.lines(spark, str(tmp_path), "*.jsonl"), "claude").first()["rows"] == 1
+
+
+def test_roots_that_hold_each_other_are_read_once(spark, tmp_path):
+    write(tmp_path / "a" / "b" / "x.jsonl", [{"type": "assistant", "usage": 1}])
+    both = [str(tmp_path / "a"), str(tmp_path / "a" / "b"), str(tmp_path / "a") + "/"]
+    assert raw.distinct_roots(both) == [str(tmp_path / "a")] and raw.lines(spark, both).count() == 1
+    told = raw.classified(spark, both, {"usage": ["usage"], "other": ["nothing"]}).first()
+    assert told["usage"] and not told["other"]
