@@ -77,8 +77,11 @@ def _packed(dealt: DataFrame, shards: int) -> DataFrame:
     return made.withColumn("shard", (F.col("doc") % shards).cast("int"))
 
 
-def _words(z: pa.Scalar) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(z.as_py()).split()
+def _all_words(column: pa.ChunkedArray) -> Iterator[list[bytes]]:
+    """The words of packed texts, one text after the other."""
+    loosen = zstandard.ZstdDecompressor()
+    for z in column:
+        yield loosen.decompress(z.as_py()).split()
 
 
 def _scan(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -163,9 +166,10 @@ def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, tex
         for anchor, several, at in zip(*(right.column(c).to_pylist() for c in ("anchor", "several", "spot")), strict=True):
             wanted.setdefault(at >> SPOT & (1 << 64 - SPOT) - 1, []).append((anchor, several, at & (1 << SPOT) - 1))
         made, hashes = {}, WordHashes()
-        for doc, z in zip(left.column("doc").to_pylist(), left.column("z"), strict=True):
-            words = _words(z) if doc in wanted else []
-            for anchor, several, at in wanted.get(doc, ()):
+        rows = [i for i, doc in enumerate(left.column("doc").to_pylist()) if doc in wanted]
+        asked = left.select(["doc", "z"]).take(pa.array(rows, pa.int64()))
+        for doc, words in zip(asked.column("doc").to_pylist(), _all_words(asked.column("z")), strict=True):
+            for anchor, several, at in wanted[doc]:
                 # documents may share the hash's bits, and places a number's low bits: the passage's own hash decides
                 for p in range(at, len(words) - phrase + 1, 1 << SPOT):
                     if int(gram_hashes(hashes.of(words[p : p + phrase]), phrase).view(np.int64)[0]) == anchor:
@@ -182,8 +186,7 @@ def repeated_windows(docs: DataFrame, window: int, phrase: int, id_col: str, tex
         automaton = Automaton(dict(zip(right.column("passage").to_pylist(), right.column("several").to_pylist(), strict=True)))
         hashes, windows, held = WordHashes(), [], 0
         marks: dict[str, tuple] = {}
-        for name, z in zip(left.column("key").to_pylist(), left.column("z"), strict=True):
-            words = _words(z)
+        for name, words in zip(left.column("key").to_pylist(), _all_words(left.column("z")), strict=True):
             found = automaton.found(words, phrase)
             if (found < 0).all():
                 continue
@@ -274,8 +277,7 @@ def without_repeats(docs: DataFrame, window: int = 35, phrase: int = 8, id_col:
         confirmed = np.zeros(most, bool)
         confirmed[good] = True
         totals, removed, kept = [], [], []
-        for name, z in zip(left.column("key").to_pylist(), left.column("z"), strict=True):
-            words = _words(z)
+        for name, words in zip(left.column("key").to_pylist(), _all_words(left.column("z")), strict=True):
             stay = np.ones(len(words), bool)
             if name in marks:
                 runs, asked, numbers = (np.frombuffer(x, np.int32) for x in marks[name])
