@@ -21,6 +21,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: What an unseen identifier looks like: 6 characters or more with a digit. It ends with its run's last
 #: letter or digit; punctuation may follow. Runs are entered at their start, and repetition never goes back.
 TOKEN = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]*+[0-9])(?=[A-Za-z0-9._@+/-]{5}[._@+/-]*+[A-Za-z0-9])[A-Za-z0-9@+][A-Za-z0-9]*+(?:[._@+/-]++[A-Za-z0-9]++)*+"
+#: Bytes of discovered spans that go to all executors at most.
+BROADCAST_BYTES = 16 << 20
 #: Code points to either side that contexts are taken from.
 REACH = 60
 
@@ -133,7 +135,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     new = bootstrap(found, **how)
     span = F.struct("start", "end", F.lit("context").alias("kind"), "value")
     more = found.where(~F.col("seed")).join(new, ["pattern", "value"]).groupBy("id", "text_key").agg(F.collect_set(span).cast(SPAN).alias("_more"))
-    more = more.select(F.col("id").alias("_more_id"), F.col("text_key").alias("_more_key"), "_more")
+    more = cut(more.select(F.col("id").alias("_more_id"), F.col("text_key").alias("_more_key"), "_more"))
+    # where little was discovered it goes to the texts; else both sides meet by key
+    size = more.agg(F.sum(F.octet_length(F.to_json("_more")) + 100).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        more = F.broadcast(more)
     out = scanned.join(more, F.col(id_col).eqNullSafe(F.col("_more_id")) & (F.col("_key") == F.col("_more_key")), "left")
     spans = F.when(F.col("_more").isNull(), F.col("base_spans")).otherwise(in_order(F.concat("base_spans", "_more"), KINDS))
     return out.withColumn("spans", spans).drop("_key", "_more_id", "_more_key", "_more")

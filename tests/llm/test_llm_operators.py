@@ -300,12 +300,14 @@ def test_linking_matches_brute_force(spark):
     assert some > 100
 
 
-def test_contexts_discover_unseen_identifiers(spark):
+def test_contexts_discover_unseen_identifiers(spark, monkeypatch):
     known = [f"please contact staff{i}@mail.example for help" for i in range(30)]
     unseen = [f"please contact EMP-{7000 + i} for help" for i in range(3)]
     other = [f"the size was B{i}00000 then" for i in range(30)]
     rows = {r["doc_id"]: r for r in pii.pii_digests(docs_of(spark, [*known, *unseen, *other])).collect()}
     assert rows[30]["spans"] == "context:15:23" and rows[30]["n_email"] == 0 and rows[40]["spans"] == ""
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", -1)
+    assert {r["doc_id"]: r for r in pii.pii_digests(docs_of(spark, [*known, *unseen, *other])).collect()} == rows
 
 
 def test_contexts_to_the_right_and_with_a_gap(spark):
