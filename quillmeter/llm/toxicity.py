@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -22,8 +23,9 @@ WINDOW, STRIDE = 12, 6
 ORDINARY, TOXIC, LOST = 60_000, 20_000, 20_000
 #: Rounds in which ordinary windows that the toxic dictionary wins by WON bytes are learned, if there are so many.
 ROUNDS, WON, FEWEST = 2, 2, 50
-#: A word or pair of words counts as toxic if it is in SEEN toxic texts or more and this log-likelihood ratio tells the classes apart.
-SEEN, RATIO = 5, 40.0
+#: A word or pair of words counts as toxic if it is in SEEN toxic texts or more and a log-likelihood ratio tells the classes apart:
+#: of n that are tried, this much above 2 log n, where chance alone gives one in 150 fits.
+SEEN, SURE = 5, 10.0
 #: Bytes won in a window that the features count from on.
 STEPS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24)
 
@@ -152,7 +154,9 @@ def _toxic_units(texts: DataFrame, toxic: int, ordinary: int) -> frozenset[str]:
     share = toxic / (toxic + ordinary)
     here, there = (F.col("a") + F.col("b")) * share, (F.col("a") + F.col("b")) * (1 - share)
     ratio = 2 * (F.col("a") * F.log(F.col("a") / here) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / there)).otherwise(0.0))
-    rows = n.where((F.col("a") >= SEEN) & (F.col("a") > here)).where(ratio >= RATIO).select("unit").collect()
+    n = cut(n)
+    least = SURE + 2 * math.log(max(1, n.count()))
+    rows = n.where((F.col("a") >= SEEN) & (F.col("a") > here)).where(ratio >= least).select("unit").collect()
     return frozenset(bytes(r["unit"]).decode("utf-8", "surrogatepass") for r in rows)
 
 

@@ -31,7 +31,7 @@ def test_stages_decide_and_the_run_is_their_product(spark, corpus_pipeline):
     assert 0.7 * before.count() < clean.count() <= before.count()
     model = toxicity.fit(before, toxicity.learnable(spark.read.parquet(f"{SF}/labels.parquet")))
     rejected = {r["doc_id"] for r in toxicity.toxicity(before, model).where("score >= 0.5").collect()}
-    assert rejected and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in before.collect()} - rejected
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in before.collect()} - rejected
     _, before, kept = seen[1]
     groups = neardup.near_duplicates(before, k=5)
     assert kept.count() == groups.select("component_id").distinct().count()
@@ -44,3 +44,13 @@ def test_stages_decide_and_the_run_is_their_product(spark, corpus_pipeline):
     want = sum(len(tokenizer.ids(r["text"] or "")) + 1 for r in before.select("text").collect())
     assert packed.agg(F.sum("length")).first()[0] == want
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_toxic_documents_go(spark, corpus_pipeline):
+    """Of a larger table, with more labels to learn from, some documents go, and nearly all that are labelled clean stay."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id")
+    gone = docs.join(kept, "doc_id", "left_anti").join(labels, "doc_id", "left")
+    clean = labels.where("toxic = 0").count()
+    assert 10 < gone.count() < 120 and gone.where("toxic = 0").count() <= 0.02 * clean
