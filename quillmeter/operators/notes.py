@@ -13,11 +13,13 @@ from quillmeter.pricing.cost import with_rates
 def reestimated_zero(usage: DataFrame, priced: DataFrame) -> DataFrame:
     """(source, events): rows logged at 0 with tokens that were estimated instead, by source.
 
-    priced has the rows of usage, told by source, file and event_index, after pricing.
+    priced has the rows of usage, told by source, file and event_index, after pricing; null is a value of these.
     """
-    zero = usage.where((F.col("cost_usd") == 0) & (F.col("total_tokens") > 0)).select("source", "file", "event_index")
-    changed = priced.where("cost_mode = 'estimated'").select("source", "file", "event_index")
-    return zero.join(changed, ["source", "file", "event_index"], "left_semi").groupBy("source").agg(F.count("*").alias("events"))
+    keys = ["source", "file", "event_index"]
+    zero = usage.where((F.col("cost_usd") == 0) & (F.col("total_tokens") > 0)).select(*keys)
+    changed = priced.where("cost_mode = 'estimated'").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return zero.join(changed, same, "left_semi").groupBy("source").agg(F.count("*").alias("events"))
 
 
 def priority_priced(usage: DataFrame, rates: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import threading
 from typing import ClassVar
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from quillmeter import catalogue
 from quillmeter.functions import format, ranges, text
 from quillmeter.operators import filters, notes, reports, share
 from quillmeter.plans import bindings
-from quillmeter.pricing import rates, resolve
+from quillmeter.pricing import cost, rates, resolve
 from quillmeter.sources import sessions, sinks
 from quillmeter.streaming import ingest, resume
 
@@ -320,3 +321,23 @@ def test_deep_paths_have_all_their_ancestors(spark):
     deep = "/" + "/".join(f"d{i}" for i in range(60))
     row = spark.range(1).select(F.size(text.ancestors(F.lit(deep))).alias("n"), text.moved_below(F.lit("C:\\a\\b\\c"), F.lit("C:\\a"), F.lit("/x")).alias("m"), text.moved_below(F.lit("/a/b"), F.lit("/a"), F.lit("D:\\y")).alias("w")).first()
     assert (row["n"], row["m"], row["w"]) == (61, "/x/b/c", "D:\\y\\b")
+
+
+# notes
+
+
+def test_zeros_are_counted_as_their_sql_says(spark, tmp_path):
+    events = [(350, 1, "click", 5.0, 0), (700, 1, "view", 5.0, 0), (1400, 1, "click", 5.0, 3), (49, None, "click", 5.0, 2), (70, 2, None, 5.0, 5), (77, 2, "click", 5.0, -5), (91, 2, "view", 5.0, 4), (98, 2, "view", None, 2), (112, 2, "view", 5.0, 1), (119, 2, "view", 5.0, None)]
+    db = duckdb.connect()
+    db.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    db.executemany("insert into events values (?, timestamp '2024-01-05', ?, ?, ?, ?)", [(*e[:4], None if e[4] is None else json.dumps({"k": e[4]})) for e in events])
+    db.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    ours = {tuple(r) for r in catalogue.queries()["reestimated_zero"](spark, str(tmp_path)).select("source", "events").collect()}
+    assert ours == set(db.execute(catalogue.oracle_sql()["reestimated_zero"]).fetchall()) == {("click", 4), ("view", 1), (None, 1)}
+
+
+def test_zeros_without_tokens_stay_zeros(spark):
+    usage = bindings.usage(spark, SF).where("model = 'claude-sonnet-4-5'").limit(1).withColumn("cost_usd", F.lit(0.0))
+    bare = usage.withColumns({c: F.lit(0).cast("bigint") for c in ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens", "cache_write_1h_tokens", "total_tokens")})
+    rows = bare.withColumn("event_index", F.lit(-1).cast("bigint")).unionByName(usage.withColumns({"file": F.lit(None).cast("string"), "input_tokens": F.lit(5).cast("bigint"), "total_tokens": F.lit(5).cast("bigint")}))
+    assert [r["events"] for r in notes.reestimated_zero(rows, cost.priced(rows, rates.example_rates(spark))).collect()] == [1]
